@@ -260,22 +260,36 @@ def option_delay_launch(pos: int, base: Column) -> Column:
     )
 
 
-def with_options(shipments: DataFrame, refs: dict[str, DataFrame], base: str = "expected_delay_days") -> DataFrame:
-    """Shipments with their terms and an ``options`` array in list order."""
-    joined = _with_lanes(shipments, refs["shipping_options"], refs["transport_modes"])
-    joined = secondary_supplier_join(joined, refs["suppliers"], refs["supplier_capacity"])
-    joined = safety_stock_join(joined, refs["inventory"])
-    joined = production_line_join(joined, refs["production_schedule"])
-    joined = order_terms_join(joined, refs["customer_orders"])
-    delay = F.col(base)
-    every = [option_freight(i, mode, delay) for i, mode in enumerate(FREIGHT)]
-    every += [option_secondary(3, delay), option_safety_stock(4), option_expedite(5, delay), option_delay_launch(6, delay)]
+def with_options(
+    shipments: DataFrame, refs: dict[str, DataFrame], base: str = "expected_delay_days", only: tuple[str, ...] = OPTION_NAMES
+) -> DataFrame:
+    """Shipments with their terms and an ``options`` array in list order.
+
+    ``only`` limits the options and with them the joins.
+    """
+    joined, delay, every = shipments, F.col(base), []
+    freight = [(i, m) for i, m in enumerate(FREIGHT) if OPTION_NAMES[i] in only]
+    if freight:
+        joined = _with_lanes(joined, refs["shipping_options"], refs["transport_modes"])
+        every += [option_freight(i, mode, delay) for i, mode in freight]
+    if OPTION_NAMES[3] in only:
+        joined = secondary_supplier_join(joined, refs["suppliers"], refs["supplier_capacity"])
+        every.append(option_secondary(3, delay))
+    if OPTION_NAMES[4] in only:
+        joined = safety_stock_join(joined, refs["inventory"])
+        every.append(option_safety_stock(4))
+    if OPTION_NAMES[5] in only:
+        joined = production_line_join(joined, refs["production_schedule"])
+        every.append(option_expedite(5, delay))
+    if OPTION_NAMES[6] in only:
+        joined = order_terms_join(joined, refs["customer_orders"])
+        every.append(option_delay_launch(6, delay))
     return joined.withColumn("options", F.filter(F.array(*every), lambda o: o.isNotNull()))
 
 
-def build_options(shipments: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
+def build_options(shipments: DataFrame, refs: dict[str, DataFrame], only: tuple[str, ...] = OPTION_NAMES) -> DataFrame:
     """One row per shipment and option."""
-    return with_options(shipments, refs).select("shipment_id", F.explode("options").alias("o")).select("shipment_id", "o.*")
+    return with_options(shipments, refs, only=only).select("shipment_id", F.explode("options").alias("o")).select("shipment_id", "o.*")
 
 
 def usable(options: Column | str) -> Column:
@@ -367,25 +381,60 @@ def tiered(with_opts: DataFrame) -> DataFrame:
     return with_opts.withColumn("tier", tier(p)).withColumn("confidence_score", tier_confidence(p))
 
 
+def _recommendation(status, action, cost, after, impact):
+    return [
+        "shipment_id",
+        F.col("expected_delay_days").alias("predicted_delay_days"),
+        "delay_probability",
+        "tier",
+        action.alias("recommended_action"),
+        cost.alias("estimated_cost_usd"),
+        after.alias("expected_delay_after_action_days"),
+        impact.alias("business_impact_usd"),
+        status.alias("optimization_status"),
+        "confidence_score",
+    ]
+
+
 def recommend_simple(with_opts: DataFrame) -> DataFrame:
     """Recommendations for the two tiers that need no joint choice, in one projection."""
     rows = tiered(with_opts).filter(F.col("tier") != P.TIER_FULL).withColumn("o", F.when(F.col("tier") == P.TIER_LOW, cheapest()))
     none, found = F.col("tier") == P.TIER_NONE, F.col("o").isNotNull()
-    delay = F.col("expected_delay_days")
+    saved = rnd(F.coalesce(delay_launch_cost(), F.col("o.cost_usd")) - F.col("o.cost_usd"), 2)
     return rows.select(
-        "shipment_id",
-        delay.alias("predicted_delay_days"),
-        "delay_probability",
-        "tier",
-        F.when(none, "No_Action_Required").when(found, F.col("o.option_name")).otherwise("No_Feasible_Option").alias("recommended_action"),
-        F.coalesce(F.col("o.cost_usd"), F.lit(0.0)).alias("estimated_cost_usd"),
-        F.coalesce(F.col("o.expected_delay_days"), delay).alias("expected_delay_after_action_days"),
-        F.when(found, rnd(F.coalesce(delay_launch_cost(), F.col("o.cost_usd")) - F.col("o.cost_usd"), 2)).otherwise(0.0).alias("business_impact_usd"),
-        F.when(none, "Not_Required").when(found, "Heuristic_Optimal").otherwise("Infeasible").alias("optimization_status"),
-        "confidence_score",
+        *_recommendation(
+            F.when(none, "Not_Required").when(found, "Heuristic_Optimal").otherwise("Infeasible"),
+            F.when(none, "No_Action_Required").when(found, F.col("o.option_name")).otherwise("No_Feasible_Option"),
+            F.coalesce(F.col("o.cost_usd"), F.lit(0.0)),
+            F.coalesce(F.col("o.expected_delay_days"), F.col("expected_delay_days")),
+            F.when(found, saved).otherwise(0.0),
+        )
     )
 
 
+def recommend_chosen(with_choice: DataFrame, status: Column) -> DataFrame:
+    """Recommendations of the full tier from a ``choice`` struct (null when nothing is possible)."""
+    found = F.col("choice").isNotNull()
+    total = F.col("choice.cost_usd") + F.col("choice.carbon_cost") + F.col("choice.late_penalty")
+    return with_choice.select(
+        *_recommendation(
+            F.when(found, status).otherwise("Infeasible"),
+            F.when(found, F.col("choice.option_name")).otherwise("No_Feasible_Option"),
+            F.coalesce(F.col("choice.cost_usd"), F.lit(0.0)),
+            F.coalesce(F.col("choice.expected_delay_days"), F.col("expected_delay_days")),
+            F.when(found, rnd(F.col("baseline") - total, 2)).otherwise(0.0),
+        )
+    )
+
+
+def recommend_each(with_opts: DataFrame, budget: float = P.DEFAULT_BUDGET_USD, carbon: float = P.DEFAULT_CARBON_KG) -> DataFrame:
+    """Every shipment on its own, as in the one-at-a-time path: no shipment takes capacity from another."""
+    full = effective_offers(tiered(with_opts).filter(F.col("tier") == P.TIER_FULL))
+    allowed = F.filter("offers", lambda o: (o["cost_usd"] <= budget) & (o["emission_kg"] <= carbon))
+    chosen = full.withColumn("choice", F.array_min(allowed)).withColumn("baseline", delay_launch_cost())
+    return recommend_simple(with_opts).unionByName(recommend_chosen(chosen, F.lit("Optimal")))
+
+
 def project_rename(recommendations: DataFrame) -> DataFrame:
     """Report column names."""
     titles = {

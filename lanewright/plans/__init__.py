@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows", "joins", "aggregates", "ordering")
+MODULES = ("rows", "joins", "aggregates", "ordering", "choice")
 
 
 def _load():
