@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewright import policy as P
-from lanewright.functions.numbers import money_sum, rnd
+from lanewright.functions.numbers import money_sum, rnd_total
 from lanewright.operators.ordered import running_totals
 
 
@@ -32,7 +32,7 @@ def fill_cheapest(df: DataFrame, group: str | None = None) -> DataFrame:
 def allocation_cost(filled: DataFrame, group: str | None = None) -> DataFrame:
     groups = [group] if group else []
     return filled.groupBy(*groups).agg(
-        rnd(money_sum(F.col("unit_cost") * F.col("allocated")), 2).alias("total_cost"), F.max("short").alias("short")
+        rnd_total(money_sum(F.col("unit_cost") * F.col("allocated")), 2).alias("total_cost"), F.max("short").alias("short")
     )
 
 
@@ -62,7 +62,7 @@ def budget_scenarios(df: DataFrame, group: str | None = None, scenarios=P.LP_SCE
     groups = [group] if group else []
     filled = fill_cheapest(df, group)
     totals = filled.groupBy(*groups).agg(
-        rnd(money_sum(F.col("unit_cost") * F.col("allocated")), 2).alias("total_cost"),
+        rnd_total(money_sum(F.col("unit_cost") * F.col("allocated")), 2).alias("total_cost"),
         F.max("short").alias("short"),
         F.sum("allocated").alias("allocated"),
         F.count_if(F.col("allocated") > 0).alias("rows_used"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.numbers import rnd
+from lanewright.functions.numbers import rnd_total
 from lanewright.policy import BreakerPolicy
 
 CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF_OPEN"
@@ -43,7 +43,7 @@ def running_error_rate(counts: DataFrame, policy: BreakerPolicy = BreakerPolicy(
     total = F.sum(F.greatest("total", F.lit(0))).over(w) + policy.base_total
     errors = F.sum(F.greatest("errors", F.lit(0))).over(w) + start
     rate = F.coalesce(F.try_divide(F.col("error_events") * 100, F.col("total_events")), F.lit(0.0))
-    return base.withColumn("total_events", total).withColumn("error_events", errors).withColumn("error_rate", rnd(rate, 2))
+    return base.withColumn("total_events", total).withColumn("error_events", errors).withColumn("error_rate", rnd_total(rate, 2))
 
 
 def breaker_states(counts: DataFrame, policy: BreakerPolicy = BreakerPolicy(), resets: DataFrame | None = None) -> DataFrame:

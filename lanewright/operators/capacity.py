@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewright import policy as P
-from lanewright.functions.numbers import rnd
+from lanewright.functions.numbers import rnd_total
 
 
 def capacity_by_mode(lanes: DataFrame, available_only: bool = False) -> DataFrame:
@@ -75,5 +75,5 @@ def resource_usage_join(chosen: DataFrame, capacity: DataFrame) -> DataFrame:
     """Use against capacity; a resource without a capacity row is unconstrained."""
     room = capacity.select(F.concat_ws(":", "resource_type", "resource_key").alias("resource"), "capacity")
     joined = resource_usage(chosen).join(room, "resource", "left")
-    share = F.when(F.col("capacity") > 0, rnd(F.col("used") / F.col("capacity"), 4))
-    return joined.select("resource", rnd(F.col("used"), 2).alias("used"), "capacity", share.alias("utilization"))
+    share = F.when(F.col("capacity") > 0, rnd_total(F.col("used") / F.col("capacity"), 4))
+    return joined.select("resource", rnd_total(F.col("used"), 2).alias("used"), "capacity", share.alias("utilization"))

@@ -2,7 +2,10 @@
 
 A shipment has at most seven options.  They live in one array column of the
 shipment row: pricing, filtering and choosing work inside the row and need no
-shuffle beyond the joins that bring the reference terms in.
+shuffle beyond the joins that bring the reference terms in.  The array is made
+by a generator of one row, which the optimizer does not merge into later
+projections: the options are priced once, in compiled code, and what follows reads
+finished values.
 """
 
 from __future__ import annotations
@@ -140,6 +143,9 @@ def order_terms_join(shipments: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+ORDER_TERMS = ("sla_days", "option_penalty_pct", "assign_penalty_pct", "assign_priority")
+
+
 def prediction_join(shipments: DataFrame, predictions: DataFrame) -> DataFrame:
     return shipments.join(predictions, "shipment_id")
 
@@ -284,45 +290,49 @@ def with_options(
     if OPTION_NAMES[6] in only:
         joined = order_terms_join(joined, refs["customer_orders"])
         every.append(option_delay_launch(6, delay))
-    return joined.withColumn("options", F.filter(F.array(*every), lambda o: o.isNotNull()))
+    keep = [c for c in (*shipments.columns, *ORDER_TERMS) if c in joined.columns]
+    priced = joined.select(*keep, F.array(*every).alias("_every"))
+    made = priced.select(*keep, F.explode(F.array("_every")).alias("options"))
+    return made.withColumn("options", F.filter("options", lambda o: o.isNotNull()))
 
 
 def build_options(shipments: DataFrame, refs: dict[str, DataFrame], only: tuple[str, ...] = OPTION_NAMES) -> DataFrame:
     """One row per shipment and option."""
-    return with_options(shipments, refs, only=only).select("shipment_id", F.explode("options").alias("o")).select("shipment_id", "o.*")
+    every = with_options(shipments, refs, only=only).select("shipment_id", F.explode("options").alias("o"))
+    return every.select("shipment_id", "o.*")
 
 
 def usable(options: Column | str) -> Column:
     return F.filter(options, lambda o: o["feasible"] & o["cost_usd"].isNotNull())
 
 
-def _ranked(o: Column) -> Column:
-    """Sorts by: delay within the lenient bound first, then cost, then list order."""
-    late = F.when(o["expected_delay_days"] <= P.LENIENT_DELAY_DAYS, 0).otherwise(1)
-    return F.struct(late.alias("late"), o["cost_usd"].alias("cost"), o["option_pos"].alias("pos"), o.alias("o"))
-
-
 def cheapest(options: Column | str = "options") -> Column:
     """The cheapest usable option, within the lenient delay when there is any; null when none is usable.
 
-    The metadata map cannot be ordered, so the pick carries the position and
-    the option is looked up by it.
+    One fold over the options in list order, so the first of equals stays.
     """
-    keys = F.transform(usable(options), lambda o: _ranked(o).dropFields("o"))
-    best = F.array_min(keys)["pos"]
-    return option_at(options, best)
+
+    def late(o: Column) -> Column:
+        return F.when(o["expected_delay_days"] <= P.LENIENT_DELAY_DAYS, 0).otherwise(1)
+
+    def better(best: Column, o: Column) -> Column:
+        less = (late(o) < late(best)) | ((late(o) == late(best)) & (o["cost_usd"] < best["cost_usd"]))
+        return F.when(best.isNull() | less, o).otherwise(best)
+
+    nothing = F.get(options, F.lit(len(OPTION_NAMES)))
+    return F.reduce(usable(options), nothing, better)
 
 
-def option_at(options: Column | str, pos: Column) -> Column:
+def option_at(options: Column | str, pos: int) -> Column:
     return F.get(F.filter(options, lambda o: o["option_pos"] == pos), F.lit(0))
 
 
 def cheapest_option(with_opts: DataFrame) -> DataFrame:
-    return with_opts.select("shipment_id", cheapest().alias("o")).filter("o is not null").select("shipment_id", "o.*")
+    return with_opts.select("shipment_id", F.explode(F.array(cheapest())).alias("o")).filter("o is not null").select("shipment_id", "o.*")
 
 
 def delay_launch_cost(options: Column | str = "options") -> Column:
-    return option_at(options, F.lit(6))["cost_usd"]
+    return option_at(options, 6)["cost_usd"]
 
 
 def effective_offers(with_opts: DataFrame, single_penalty: bool = False) -> DataFrame:
@@ -365,8 +375,8 @@ def effective_cost(with_opts: DataFrame) -> DataFrame:
 
 def argmin_option(with_opts: DataFrame) -> DataFrame:
     """Per shipment the least effective cost, ties in list order: the joint choice without shared limits."""
-    best = F.array_min("offers").alias("o")
-    return effective_offers(with_opts).select("shipment_id", best).filter("o is not null").select("shipment_id", "o.*")
+    best = F.explode(F.slice(F.sort_array("offers"), 1, 1)).alias("o")
+    return effective_offers(with_opts).select("shipment_id", best).select("shipment_id", "o.*")
 
 
 # --- recommendations ----------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from lanewright.functions.numbers import flag, rnd
+from lanewright.functions.numbers import flag, rnd_total
 from lanewright.operators.quantiles import exact_quantiles
 from lanewright.policy import COLUMN_MEANING, IQR_SPAN
 
@@ -77,7 +77,7 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = [(c, *[numbers[c][p] for p in probs.values()]) for c in columns]  # one row per column
     schema = "column_name string, " + ", ".join(f"{n} double" for n in probs)
     made = df.sparkSession.createDataFrame(rows, schema)
-    return made.select("column_name", *[rnd(F.col(n), 4).alias(n) for n in probs])
+    return made.select("column_name", *[rnd_total(F.col(n), 4).alias(n) for n in probs])
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -97,18 +97,18 @@ def column_profile(df: DataFrame) -> DataFrame:
         exprs += [
             F.lit(kinds[c]).alias(f"{c}~dtype"),
             (F.count("*") - n).alias(f"{c}~missing_count"),
-            rnd((F.count("*") - n) * 100 / F.count("*"), 3).alias(f"{c}~missing_pct"),
+            rnd_total((F.count("*") - n) * 100 / F.count("*"), 3).alias(f"{c}~missing_pct"),
             F.count("*").alias(f"{c}~n_rows"),
         ]
         if c in numeric:
             unbiased = F.skewness(col) * F.sqrt(n * (n - 1)) / (n - 2)
             numbers = {
-                "mean": rnd(F.avg(col), 4),
-                "median": rnd(F.lit(medians[c][0.5]), 4),
-                "std": rnd(F.stddev_samp(col), 4),
+                "mean": rnd_total(F.avg(col), 4),
+                "median": rnd_total(F.lit(medians[c][0.5]), 4),
+                "std": rnd_total(F.stddev_samp(col), 4),
                 "minimum": F.min(col),
                 "maximum": F.max(col),
-                "skewness": rnd(F.when(n > 2, unbiased), 4),
+                "skewness": rnd_total(F.when(n > 2, unbiased), 4),
                 "outlier_count_iqr": _outside(f"`{c}`", fences[c]),
                 "negative_value_count": F.coalesce(F.sum(flag(col < 0)), F.lit(0)),
             }
@@ -125,7 +125,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     wide = _long(df.agg(*exprs), columns, fields)
     distinct = value_frequencies(df, columns).groupBy("column_name").agg(F.count("*").alias("unique_count"))
     joined = wide.join(distinct, "column_name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
-    return joined.withColumn("cardinality_ratio", rnd(F.col("unique_count") / F.col("n_rows"), 4)).drop("n_rows")
+    return joined.withColumn("cardinality_ratio", rnd_total(F.col("unique_count") / F.col("n_rows"), 4)).drop("n_rows")
 
 
 def column_annotations(profile: DataFrame, meanings: dict[str, str] = COLUMN_MEANING) -> DataFrame:

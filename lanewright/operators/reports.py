@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.numbers import flag, lookup, money_sum, rnd
+from lanewright.functions.numbers import flag, lookup, money_sum, rnd_total
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -15,17 +15,17 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def batch_kpis(recs: DataFrame, budget: float, carbon: float) -> DataFrame:
     return recs.agg(
         F.count("*").alias("total_shipments_evaluated"),
-        rnd(money_sum(F.col("estimated_cost_usd")), 2).alias("total_estimated_cost_usd"),
-        rnd(money_sum(F.col("business_impact_usd")), 2).alias("total_business_impact_usd"),
-        rnd(money_sum(F.col("delay_probability")) / F.count("*"), 4).alias("average_delay_probability"),
-        rnd(money_sum(F.col("expected_delay_after_action_days")) / F.count("*"), 2).alias("average_expected_delay_days_after_action"),
+        rnd_total(money_sum(F.col("estimated_cost_usd")), 2).alias("total_estimated_cost_usd"),
+        rnd_total(money_sum(F.col("business_impact_usd")), 2).alias("total_business_impact_usd"),
+        rnd_total(money_sum(F.col("delay_probability")) / F.count("*"), 4).alias("average_delay_probability"),
+        rnd_total(money_sum(F.col("expected_delay_after_action_days")) / F.count("*"), 2).alias("average_expected_delay_days_after_action"),
     ).select("*", F.lit(float(budget)).alias("budget_usd"), F.lit(float(carbon)).alias("carbon_limit_kg"))
 
 
 def cost_by_action(recs: DataFrame) -> DataFrame:
     return (
         recs.groupBy("recommended_action")
-        .agg(rnd(money_sum(F.col("estimated_cost_usd")), 2).alias("total_cost"))
+        .agg(rnd_total(money_sum(F.col("estimated_cost_usd")), 2).alias("total_cost"))
         .orderBy(F.col("total_cost").desc(), "recommended_action")
     )
 
@@ -38,7 +38,7 @@ def cost_heatmap(lanes: DataFrame, modes: DataFrame, mode_names: list[str]) -> D
     """Mean cost per kg by destination and mode."""
     priced = lanes.join(modes.select("mode", "cost_per_kg_usd"), "mode")
     grid = priced.groupBy("destination_country").pivot("mode", mode_names).agg(F.avg("cost_per_kg_usd"))
-    return grid.select("destination_country", *[rnd(F.col(m), 4).alias(m.lower()) for m in mode_names])
+    return grid.select("destination_country", *[rnd_total(F.col(m), 4).alias(m.lower()) for m in mode_names])
 
 
 def supplier_util_top(capacity: DataFrame, n: int = 20) -> DataFrame:
@@ -60,31 +60,31 @@ def inventory_by_category(inventory: DataFrame) -> DataFrame:
 
 def budget_utilization(kpis: DataFrame) -> DataFrame:
     used = F.col("total_estimated_cost_usd") / F.greatest(F.col("budget_usd"), F.lit(1.0))
-    return kpis.select(rnd(F.least(used, F.lit(1.0)) * 100, 2).alias("budget_used_pct"))
+    return kpis.select(rnd_total(F.least(used, F.lit(1.0)) * 100, 2).alias("budget_used_pct"))
 
 
 def delay_rate_by(df: DataFrame, category: str, flag_column: str) -> DataFrame:
     return (
         df.groupBy(category)
-        .agg(rnd(F.avg(flag_column), 6).alias("delay_rate"))
+        .agg(rnd_total(F.avg(flag_column), 6).alias("delay_rate"))
         .orderBy(F.col("delay_rate").desc(), category)
     )
 
 
 def class_ratio(df: DataFrame, label: str) -> DataFrame:
     """Negatives per positive, the weight of the positive class in training."""
-    return df.agg(rnd(F.count_if(F.col(label) == 0) / F.greatest(F.count_if(F.col(label) == 1), F.lit(1)), 6).alias("class_ratio"))
+    return df.agg(rnd_total(F.count_if(F.col(label) == 0) / F.greatest(F.count_if(F.col(label) == 1), F.lit(1)), 6).alias("class_ratio"))
 
 
 def predicted_rate(predictions: DataFrame) -> DataFrame:
     return predictions.agg(
-        rnd(F.avg("predicted_delay_flag"), 6).alias("predicted_rate"), rnd(F.avg("delay_probability"), 6).alias("mean_probability")
+        rnd_total(F.avg("predicted_delay_flag"), 6).alias("predicted_rate"), rnd_total(F.avg("delay_probability"), 6).alias("mean_probability")
     )
 
 
 def error_rate(df: DataFrame, is_error) -> DataFrame:
     rate = F.coalesce(F.try_divide(F.count_if(is_error) * 100, F.count("*")), F.lit(0.0))
-    return df.agg(F.count("*").alias("total_events"), F.count_if(is_error).alias("error_events"), rnd(rate, 2).alias("error_rate"))
+    return df.agg(F.count("*").alias("total_events"), F.count_if(is_error).alias("error_events"), rnd_total(rate, 2).alias("error_rate"))
 
 
 def supplier_pairing(suppliers: DataFrame, offset: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.functions.numbers import flag, money_sum, rnd
+from lanewright.functions.numbers import flag, money_sum, rnd_total
 from lanewright.operators.ordered import running_totals
 
 
@@ -65,13 +65,13 @@ def roi_totals(decisions: DataFrame, outcomes: DataFrame, matched: bool = False)
         F.col("n_dec").alias("total_decisions"),
         F.col("n_out").alias("evaluated_outcomes"),
         F.coalesce("n_pos", F.lit(0)).alias("positive_outcomes"),
-        F.when(any_out, rnd(F.col("n_pos") / F.col("n_out") * 100, 1)).otherwise(zero).alias("positive_outcome_rate"),
-        F.coalesce(rnd(F.col("prescribed"), 2), zero).alias("total_prescribed_cost"),
-        F.coalesce(rnd(F.col("actual"), 2), zero).alias("total_actual_cost"),
-        F.when(any_out, rnd(F.col("prescribed") - F.col("actual"), 2)).otherwise(zero).alias("total_cost_savings"),
-        F.coalesce(rnd(F.col("avg_expected"), 1), zero).alias("avg_prescribed_delay"),
-        F.coalesce(rnd(F.col("avg_actual"), 1), zero).alias("avg_actual_delay"),
-        F.when(any_out, rnd(F.col("avg_expected") - F.col("avg_actual"), 1)).otherwise(zero).alias("avg_delay_improvement"),
+        F.when(any_out, rnd_total(F.col("n_pos") / F.col("n_out") * 100, 1)).otherwise(zero).alias("positive_outcome_rate"),
+        F.coalesce(rnd_total(F.col("prescribed"), 2), zero).alias("total_prescribed_cost"),
+        F.coalesce(rnd_total(F.col("actual"), 2), zero).alias("total_actual_cost"),
+        F.when(any_out, rnd_total(F.col("prescribed") - F.col("actual"), 2)).otherwise(zero).alias("total_cost_savings"),
+        F.coalesce(rnd_total(F.col("avg_expected"), 1), zero).alias("avg_prescribed_delay"),
+        F.coalesce(rnd_total(F.col("avg_actual"), 1), zero).alias("avg_actual_delay"),
+        F.when(any_out, rnd_total(F.col("avg_expected") - F.col("avg_actual"), 1)).otherwise(zero).alias("avg_delay_improvement"),
     )
 
 
@@ -88,8 +88,8 @@ def roi_by_option(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
             F.col("selected_option").alias("option"),
             "count",
             "positive",
-            rnd(F.col("positive") / F.col("count") * 100, 1).alias("success_rate"),
-            rnd(F.col("saved"), 2).alias("total_savings"),
+            rnd_total(F.col("positive") / F.col("count") * 100, 1).alias("success_rate"),
+            rnd_total(F.col("saved"), 2).alias("total_savings"),
         )
     )
 
@@ -107,7 +107,7 @@ def recent_outcomes(decisions: DataFrame, outcomes: DataFrame, n: int = 10) -> D
             "selected_option",
             "prescribed_cost",
             "actual_cost",
-            rnd(F.col("prescribed_cost") - F.col("actual_cost"), 2).alias("cost_saving"),
+            rnd_total(F.col("prescribed_cost") - F.col("actual_cost"), 2).alias("cost_saving"),
             F.col("expected_delay_days").alias("prescribed_delay"),
             F.col("actual_delay_days").alias("actual_delay"),
             (F.col("expected_delay_days") - F.col("actual_delay_days")).alias("delay_improvement"),
@@ -162,11 +162,11 @@ def outcome_valid(allow_zero: bool = False) -> Column:
 
 def roi_pct(saving: Column, prescribed: Column) -> Column:
     """Savings in percent of the prescribed cost; 0 when nothing was prescribed."""
-    return F.when(prescribed > 0, rnd(F.try_divide(saving, prescribed) * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(prescribed > 0, rnd_total(F.try_divide(saving, prescribed) * 100, 1)).otherwise(F.lit(0.0))
 
 
 def bar_pct(by_option: DataFrame) -> DataFrame:
     """Bar lengths of the option breakdown, relative to the largest absolute saving."""
     top = by_option.agg(F.greatest(F.max(F.abs("total_savings")), F.lit(1.0)).alias("m")).scalar()
     share = F.least(F.abs(F.col("total_savings")) / top * 100, F.lit(100.0))
-    return by_option.withColumn("bar_pct", rnd(share, 4))
+    return by_option.withColumn("bar_pct", rnd_total(share, 4))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lanewright import policy as P
 from lanewright.functions import text
-from lanewright.functions.numbers import rnd
+from lanewright.functions.numbers import rnd, rnd_total
 from lanewright.operators import capacity, options, prepare, profile, reports, roi
 from lanewright.plans.joins import POSITIVE_SQL
 from lanewright.plans.registry import money, query, rounded as R
@@ -256,7 +256,7 @@ CORR = ["distance", "shipment_weight", "shipment_volume", "carbon_emission", "pu
     f"select '{a}' as a, '{b}' as b, {R(f'corr({a}, {b})', 6)} as corr from {{cargo}}"
     for i, a in enumerate(CORR) for b in CORR[i + 1:]))
 def correlation_matrix(t):
-    return profile.correlation_matrix(t("cargo"), CORR).select("a", "b", rnd(F.col("corr"), 6).alias("corr"))
+    return profile.correlation_matrix(t("cargo"), CORR).select("a", "b", rnd_total(F.col("corr"), 6).alias("corr"))
 
 
 @query("histogram", """

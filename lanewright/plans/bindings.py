@@ -11,10 +11,26 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
+from lanewright.session import spread
+
+# Declared schemas: reading needs no footer scan.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+BASE_TABLES = tuple(SCHEMAS)
 
 # Secondary supplier ids sit far above any primary id, whatever the scale.
 SECONDARY_BASE = 900000000000
@@ -300,15 +316,19 @@ def _needs(name: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a domain view as a DataFrame."""
-    if name not in VIEWS:
-        return table(spark, sf_dir, name)
-    inputs = {need: bind(spark, sf_dir, need) for need in _needs(name)}
-    return spark.sql(VIEWS[name], **inputs)
+    return spread(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def bind(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A base table or a domain view as a DataFrame; ``known`` keeps what one query has bound already."""
+    known = {} if known is None else known
+    if name not in known:
+        if name in VIEWS:
+            inputs = {need: bind(spark, sf_dir, need, known) for need in dict.fromkeys(_needs(name))}
+            known[name] = spark.sql(VIEWS[name], **inputs)
+        else:
+            known[name] = table(spark, sf_dir, name)
+    return known[name]
 
 
 def with_views(query: str) -> str:

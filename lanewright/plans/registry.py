@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewright.plans.bindings import bind, with_views
+from lanewright.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -19,9 +20,15 @@ class Inputs:
 
     spark: SparkSession
     sf_dir: str
+    known: dict[str, DataFrame] = field(default_factory=dict)
 
     def __call__(self, name: str) -> DataFrame:
-        return bind(self.spark, self.sf_dir, name)
+        return bind(self.spark, self.sf_dir, name, self.known)
+
+    def stored(self, name: str) -> DataFrame:
+        """The view written out once: later joins then plan with its real size, not with that of its source."""
+        self.known[name] = materialize(self(name), name)
+        return self.known[name]
 
     def many(self, *names: str) -> dict[str, DataFrame]:
         return {name: self(name) for name in names}
