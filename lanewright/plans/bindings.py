@@ -350,6 +350,8 @@ def with_views(query: str) -> str:
         return plain(query)
     views = ", ".join(f"{name} as ({plain(VIEWS[name])})" for name in ordered)
     body = plain(query).strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {views}, {body[5:]}"
     return f"with {views} {body}"
