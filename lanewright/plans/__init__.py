@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows", "joins", "aggregates", "ordering", "choice", "remediation", "modelling")
+MODULES = ("rows", "joins", "aggregates", "ordering", "choice", "remediation", "modelling", "storage")
 
 
 def _load():
