@@ -80,7 +80,8 @@ from {lineitem} group by l_orderkey, l_linestatus"""
 # One row per shipment line, from lineitem alone: the feature formulas run on it without a join.
 VIEWS["cargo"] = """
 select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
-                 cast(l_partkey as string), cast(l_suppkey as string)) as shipment_id,
+                 cast(l_partkey as string), cast(l_suppkey as string),
+                 cast(cast(round(l_extendedprice * 100) as bigint) as string)) as shipment_id,
        l_suppkey as supplier_id,
        cast(l_shipdate as date) as order_date,
        concat('Country-', cast(l_suppkey % 25 as string)) as supplier_country,
@@ -130,7 +131,8 @@ from {lineitem}"""
 
 VIEWS["shipments"] = """
 select concat_ws('-', cast(l.l_orderkey as string), cast(l.l_linenumber as string),
-                 cast(l.l_partkey as string), cast(l.l_suppkey as string)) as shipment_id,
+                 cast(l.l_partkey as string), cast(l.l_suppkey as string),
+                 cast(cast(round(l.l_extendedprice * 100) as bigint) as string)) as shipment_id,
        l.l_suppkey as supplier_id,
        sn.n_name as supplier_country,
        cn.n_name as destination_country,
@@ -154,7 +156,8 @@ join {nation} sn on sn.n_nationkey = s.s_nationkey"""
 
 VIEWS["delay_predictions"] = """
 select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
-                 cast(l_partkey as string), cast(l_suppkey as string)) as shipment_id,
+                 cast(l_partkey as string), cast(l_suppkey as string),
+                 cast(cast(round(l_extendedprice * 100) as bigint) as string)) as shipment_id,
        (l_partkey * 7919 + l_suppkey) % 1000 / 1e3 as delay_probability,
        case when (l_partkey * 7919 + l_suppkey) % 1000 >= 500 then 1 else 0 end as predicted_delay_flag,
        (l_orderkey * 31 + l_linenumber * 7) % 200 / 1e1 as expected_delay_days
@@ -164,7 +167,8 @@ from {lineitem}"""
 VIEWS["customer_orders"] = """
 select concat('ORD-', cast(l.l_orderkey as string)) as order_id,
        concat_ws('-', cast(l.l_orderkey as string), cast(l.l_linenumber as string),
-                 cast(l.l_partkey as string), cast(l.l_suppkey as string)) as shipment_id,
+                 cast(l.l_partkey as string), cast(l.l_suppkey as string),
+                 cast(cast(round(l.l_extendedprice * 100) as bigint) as string)) as shipment_id,
        case substr(o.o_orderpriority, 1, 1) when '1' then 'Critical' when '2' then 'High'
             when '3' then 'Medium' else 'Low' end as priority,
        case substr(o.o_orderpriority, 1, 1) when '1' then 3 when '2' then 5 when '3' then 8 else 14 end as sla_max_delay_days,
@@ -273,7 +277,8 @@ from {events} where event_type = 'signup' and value > 80"""
 
 VIEWS["scored"] = """
 select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
-                 cast(l_partkey as string), cast(l_suppkey as string)) as id,
+                 cast(l_partkey as string), cast(l_suppkey as string),
+                 cast(cast(round(l_extendedprice * 100) as bigint) as string)) as id,
        case when l_returnflag = 'R' then 1 else 0 end as label,
        (l_partkey * 7919 + l_suppkey * 104729 + l_orderkey) % 1000 * 6 / 1e4
          + case when l_returnflag = 'R' then 35e-2 else 0e0 end as probability
@@ -303,7 +308,8 @@ from {daily_load}"""
 
 VIEWS["allocation"] = """
 select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
-                 cast(l_partkey as string), cast(l_suppkey as string)) as id,
+                 cast(l_partkey as string), cast(l_suppkey as string),
+                 cast(cast(round(l_extendedprice * 100) as bigint) as string)) as id,
        l_suppkey as site,
        cast(round(cast(l_extendedprice / l_quantity as decimal(28,8)), 2) as double) as unit_cost,
        l_quantity as capacity,
