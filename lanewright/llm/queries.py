@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import byte_bpe, radix_dedup, token_counts, url_filter
+from lanewright.llm import byte_bpe, radix_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -36,6 +36,15 @@ def query(name: str, check: str | None = None):
     return register
 
 
+@query("op2_toxicity")
+def op2(spark, table):
+    documents, labels = table("documents"), table("labels")
+    model = toxicity.fit(documents, labels.filter(toxicity.learnable()))
+    return toxicity.score(documents, model, ["doc_id"]).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "p_value", "passages"
+    )
+
+
 @query("op3_byte_bpe")
 def op3(spark, table):
     tokens = byte_bpe.encode(table("documents"), BYTE_RANKS, ["doc_id"])
@@ -62,9 +71,7 @@ from d window w as (partition by body)
 
 @query("op7_exact_dedup", EXACT_SQL)
 def op7(spark, table):
-    return radix_dedup.mark_duplicates(table("documents")).select(
-        "doc_id", "keep_id", "group_size", "kept", F.sha2(F.col("body"), 256).alias("text_sha256")
-    )
+    return radix_dedup.mark_duplicates(table("documents"))
 
 
 def _term_count(terms: tuple[str, ...]) -> str:
