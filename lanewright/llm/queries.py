@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import byte_bpe, radix_dedup, token_counts, toxicity, url_filter
+from lanewright.llm import byte_bpe, decontaminate, html_text, near_dedup, preferences, radix_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -36,6 +36,12 @@ def query(name: str, check: str | None = None):
     return register
 
 
+@query("op1_html_text")
+def op1(spark, table):
+    found = html_text.extract(table("pages"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op2_toxicity")
 def op2(spark, table):
     documents, labels = table("documents"), table("labels")
@@ -62,6 +68,11 @@ def op4(spark, table):
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query("op5_near_dedup")
+def op5(spark, table):
+    return near_dedup.near_components(table("documents"), 85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 EXACT_SQL = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(body) as text_sha256
@@ -101,3 +112,46 @@ from b join s using (page_id) left join m using (page_id)
 def op9(spark, table):
     judged = url_filter.judge(table("pages"), URL_RULES, ["page_id"])
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+@query("op8_preference_format")
+def op8(spark, table):
+    turns = table("conversations")
+    return preferences.format_pairs(preferences.opening_pairs(turns), turns)
+
+
+def mask_join(left: str, right: str) -> str:
+    """SQL: places of two word lists that agree under one of the masks."""
+    offsets = [[f"{left}.words[{left}.p + {o}] = {right}.words[{right}.p + {o}]" for o in mask] for mask in decontaminate.MASKS]
+    return " or ".join("(" + " and ".join(x) + ")" for x in offsets)
+
+
+LEAK_SQL = f"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as words from documents),
+b as (
+    select min(item_id) as item_id, words, least({decontaminate.SPAN}, len(words)) as span
+    from (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as words from benchmark)
+    where len(words) >= {decontaminate.SHORTEST} group by words
+),
+dp as (select doc_id, words, unnest(range(1, len(words) + 1)) as p from d), bp as (select item_id, words, unnest(range(1, len(words) + 1)) as p from b),
+h as (
+    select distinct dp.doc_id, bp.item_id, dp.p - bp.p as diagonal from dp join bp
+    on dp.words[dp.p] = bp.words[bp.p] and dp.words[dp.p + 1] = bp.words[bp.p + 1] and dp.words[dp.p + 7] = bp.words[bp.p + 7]
+    where {mask_join("dp", "bp")}
+),
+m as (
+    select h.doc_id, h.item_id, h.diagonal, span, bp.p, cast(d.words[bp.p + h.diagonal] = bp.words[bp.p] as integer) as same
+    from h join b using (item_id) join bp using (item_id) join d using (doc_id) where bp.p + h.diagonal between 1 and len(d.words)
+),
+s as (select x.doc_id, x.item_id, x.span, sum(y.same) as equal, count(*) as n from m x join m y
+    on x.doc_id = y.doc_id and x.item_id = y.item_id and x.diagonal = y.diagonal and y.p >= x.p and y.p < x.p + x.span group by x.doc_id, x.item_id, x.diagonal, x.p, x.span),
+l as (select doc_id, count(distinct item_id) as n_items, min(item_id) as first_item from s
+    where n = span and span - equal <= floor(span / {decontaminate.ONE_IN}) group by doc_id)
+select doc_id, l.doc_id is not null as leaked, coalesce(n_items, 0) as n_items, first_item from d left join l using (doc_id)
+"""
+
+
+@query("op10_decontaminate", LEAK_SQL)
+def op10(spark, table):
+    found = decontaminate.find_leaks(table("documents"), table("benchmark"))
+    return found.select("doc_id", "leaked", F.size("items").cast("bigint").alias("n_items"), F.array_min("items").alias("first_item"))
