@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import byte_bpe, decontaminate, html_text, near_dedup, preferences, radix_dedup, token_counts, toxicity, url_filter
+from lanewright.llm import byte_bpe, decontaminate, html_text, near_dedup, preferences, radix_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -73,6 +73,15 @@ def op5(spark, table):
     return near_dedup.near_components(table("documents"), 85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+@query("op6_repeated_bytes")
+def op6(spark, table):
+    cut = suffix_dedup.remove_repeats(table("documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
+
+
 EXACT_SQL = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(body) as text_sha256
