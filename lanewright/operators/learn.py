@@ -11,13 +11,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.functions.numbers import flag, hash52, rnd
 from lanewright.operators.ordered import running_totals
 from lanewright.operators.prepare import Preparation
 from lanewright.operators.ranking import sample_rows
+from lanewright.session import materialize
 
 WAREHOUSE_FEATURES = (
     "dist_from_hub", "workers_num", "product_wg_ton", "wh_breakdown_l3m", "num_refill_req_l3m", "Competitor_in_mkt",
@@ -128,15 +129,16 @@ def feature_top(spark: SparkSession, model: Model, features: list[str], n: int =
     return feature_importance(spark, model, features).limit(n)
 
 
-def explain_global(df: DataFrame, model: Model, features: list[str], keys: list[str], sample: int = 1500, seed: int = 42) -> DataFrame:
+def explain_global(df: DataFrame, model: Model, features: list[str], keys: list[str], sample: int | None = None, seed: int = 42) -> DataFrame:
     """Mean change of the predicted probability when one feature takes another row's value.
 
-    Runs on a fixed-size sample; all features are perturbed and scored in one pass.
+    Runs on all rows, or on a sample of the given size; all features are perturbed and scored in one pass.
     """
-    spark = df.sparkSession
-    picked = sample_rows(df.select(*keys, *features), keys, sample, seed)
-    # The sample has a fixed number of rows, so ranking it in one task is bounded.
-    numbered = picked.withColumn("_row", F.row_number().over(Window.orderBy(*keys)) - 1).cache()
+    picked = df.select(*keys, *features)
+    if sample is not None:
+        picked = sample_rows(picked, keys, sample, seed)
+    counted = running_totals(picked.withColumn("_one", F.lit(1).cast("bigint")), keys, ["_one"])
+    numbered = materialize(counted.withColumnRenamed("_one_before", "_row").drop("_one"), "explained")
     n = numbered.count()
     partner = numbered.select(((F.col("_row") + n // 2) % F.lit(n)).alias("_row"), F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("other"))
     base = score_batch(assemble(numbered, features), model).select("_row", F.col("delay_probability").alias("before"))

@@ -26,8 +26,8 @@ def drop_duplicates_first(df: DataFrame) -> DataFrame:
 
 
 def isin_filter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in the id list; an id list that matches nothing is an error at the caller."""
-    return df.join(ids.select(key), key, "left_semi")
+    """Rows whose key is in the id list; an id list that matches nothing is an error."""
+    return nonempty_guard(df.join(ids.select(key), key, "left_semi"), f"selection by {key}")
 
 
 def nonempty_guard(df: DataFrame, what: str = "input") -> DataFrame:

@@ -113,8 +113,3 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row of highest order per key."""
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(key, "_r.*")
-
-
-def state_marks(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
-    before = F.lag(state).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("previous_state", before).withColumn("changed", flag(before != F.col(state)))

@@ -29,7 +29,7 @@ def as_of(changes: DataFrame, key: str, seq: int) -> DataFrame:
     return seen.groupBy(key).agg(last.alias("r")).select(key, "r.*")
 
 
-def snapshot_lineage(manifest: DataFrame, longest: int = 1 << 20) -> DataFrame:
+def snapshot_lineage(manifest: DataFrame) -> DataFrame:
     """Root and depth of every snapshot.
 
     Pointers double each round: after k joins a row looks 2^k parents up, so a
@@ -40,16 +40,16 @@ def snapshot_lineage(manifest: DataFrame, longest: int = 1 << 20) -> DataFrame:
         F.coalesce("parent_snapshot_id", "snapshot_id").alias("up"),
         F.when(F.col("parent_snapshot_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
     )
-    step = 1
-    chain = manifest.count()
-    while step < min(chain, longest):
+    moved = True
+    while moved:
         above = rows.select(F.col("snapshot_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         rows = rows.join(above, "up").select(
-            "snapshot_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")
+            "snapshot_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_up") != F.col("up")).alias("_moved")
         )
         # Each round reads the last one twice; writing it keeps the plan from doubling too.
         rows = materialize(rows, "lineage")
-        step *= 2
+        moved = not rows.filter("_moved").isEmpty()
+        rows = rows.drop("_moved")
     return rows.select("snapshot_id", F.col("up").alias("root_snapshot_id"), "depth")
 
 

@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.session import spread
 
 # Declared schemas: reading needs no footer scan.
 SCHEMAS = {
@@ -322,7 +321,7 @@ def _needs(name: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -56,15 +56,3 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
-    """Deal the rows of a small, unsplittable source over idle cores.
-
-    A Parquet file with one row group is read by one task, and everything up to the
-    first shuffle then runs on one core.  A source that already has a task per core,
-    or less than one task's worth of bytes, is returned as it is.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // bytes_per_task)
-    return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from lanewright.functions.risk import delay_status
 
@@ -26,15 +26,34 @@ REFERENCE_TABLES = (
 )  # fixed values
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A CSV with header, always with a declared schema: inference would read the data twice."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str, **options: str) -> DataFrame:
+    """A CSV with header: the declared columns, found by their names in the header line.
+
+    The types are declared, because inference would read the data twice.  Other columns are left out, a column that the
+    file lacks is an error before any job runs, and so is a cell that is not of its type when it is read.
+    """
+    declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    types = {f.name: f.dataType for f in declared.fields}
+    header = csv_header(spark, path)
+    missing = [name for name in types if name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {missing}")
+    ordered = StructType([StructField(name, types.get(name, StringType()), True) for name in header])
+    rows = spark.read.schema(ordered).options(header=True, enforceSchema=False, mode="FAILFAST", **options).csv(path)
+    return rows.select(*[f"`{name}`" for name in types])
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a CSV's header line."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
 def scan_csv_dates(spark: SparkSession, path: str, schema: StructType, date_columns: list[str], fmt: str = "yyyy-MM-dd") -> DataFrame:
-    """As ``scan_csv``, with those of the date columns that the schema has read as dates."""
-    typed = StructType([StructField(f.name, DateType() if f.name in date_columns else f.dataType, True) for f in schema.fields])
-    return spark.read.schema(typed).option("header", True).option("dateFormat", fmt).csv(path)
+    """As ``scan_csv``, with the date columns that the file has read as dates; a date column it lacks is left out."""
+    header = csv_header(spark, path)
+    fields = [f for f in schema.fields if f.name in header or f.name not in date_columns]
+    typed = StructType([StructField(f.name, DateType() if f.name in date_columns else f.dataType, True) for f in fields])
+    return scan_csv(spark, path, typed, dateFormat=fmt)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
