@@ -297,6 +297,38 @@ def joint_summary(t):
     return full_tier(t)[1].summary
 
 
+NO_FAULT = """
+select cast(0 as bigint) as resources_over, cast(0 as bigint) as shipments_not_once, cast(0 as bigint) as outside_offers,
+    cast(0 as double) as budget_excess, cast(0 as double) as carbon_excess
+"""
+
+
+@query("joint_invariants", NO_FAULT)
+def joint_invariants(t):
+    """Faults of the joint choice, all of which must be 0; the offers are priced again, apart from the choice."""
+    rows, found = full_tier(t)
+    budget, carbon = _limits(t)
+    use = joint.constraint_utilization(found.choice, _enforced(t), budget, carbon)
+    over = use.filter("used > capacity").agg(F.count("*").alias("resources_over"))
+    offers = options.effective_offers(rows, False).select(F.col("shipment_id").alias("asked_id"), "offers")
+    both = offers.join(found.choice, F.col("asked_id") == F.col("shipment_id"), "full").select("asked_id", "shipment_id", "offers", "choice")
+    once = both.groupBy(F.coalesce("asked_id", "shipment_id").alias("id")).agg(
+        F.count("asked_id").alias("asked"), F.count("shipment_id").alias("answered")
+    )
+    once = once.agg(F.count_if((F.col("asked") != 1) | (F.col("answered") != 1)).alias("shipments_not_once"))
+    same = lambda o: (o["option_pos"] == F.col("choice.option_pos")) & o["resource"].eqNullSafe(F.col("choice.resource")) & (F.abs(o["effective_cost"] - F.col("choice.effective_cost")) < 0.005)
+    strange = F.col("choice").isNotNull() & ~F.coalesce(F.exists("offers", same), F.lit(False))
+    outside = both.agg(F.count_if(strange).alias("outside_offers"))
+    spent = found.choice.agg(F.sum(F.col("choice.cost_usd").cast("decimal(18,4)")).alias("m"), F.sum(F.col("choice.emission_kg").cast("decimal(18,4)")).alias("c"))
+    excess = spent.select(
+        F.greatest(F.coalesce(F.col("m").cast("double"), F.lit(0.0)) - budget, F.lit(0.0)).alias("budget_excess"),
+        F.greatest(F.coalesce(F.col("c").cast("double"), F.lit(0.0)) - carbon, F.lit(0.0)).alias("carbon_excess"),
+    )
+    # Four rows of one: the joins below put single numbers side by side.
+    numbered = [part.withColumn("_one", F.lit(1)) for part in (over, once, outside, excess)]
+    return numbered[0].join(numbered[1], "_one").join(numbered[2], "_one").join(numbered[3], "_one").drop("_one")
+
+
 @query("assignment_results")
 def assignment_results(t):
     return joint.assignment_results(full_tier(t)[1].choice)

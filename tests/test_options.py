@@ -126,6 +126,29 @@ def test_joint_choice_keeps_capacities_and_its_bound(spark):
     assert summary["total_cost"] <= best * 1.25
 
 
+def test_joint_choice_over_many_proposal_rounds(spark):
+    """All shipments bid for one mode and one pool without prices, so the proposals take many rounds to end."""
+    made = _fake(spark, 400, 11)
+    caps = _caps(spark, 900.0, 60.0)
+    found = joint.joint_assign(made, caps, 1e12, 1e12, price_rounds=0, improve_rounds=0)
+    picks = [r["choice"] for r in found.choice.collect()]
+    assert len(picks) == 400 and all(p is not None for p in picks)
+    used = {}
+    for p in picks:
+        if p["resource"]:
+            used[p["resource"]] = used.get(p["resource"], 0.0) + p["units"]
+    room = {"transport_mode:Air": 900.0} | {f"inventory:W{i}": 60.0 for i in range(3)}
+    assert all(used[k] <= room[k] for k in room) and all(used[k] > 0.8 * room[k] for k in room)
+    settled = joint.joint_assign(made, caps, 1e12, 1e12).summary.first()
+    assert settled["lower_bound"] <= settled["total_cost"] <= found.summary.first()["total_cost"] and settled["gap"] < 0.08
+
+
+def test_joint_choice_of_rows_that_repeat_an_id(spark):
+    made = _fake(spark, 5, 2)
+    found = joint.joint_assign(made.union(made), _caps(spark, 40.0, 5.0), 1e12, 1e12)
+    assert found.choice.count() == 10
+
+
 def test_joint_choice_under_a_binding_carbon_limit(spark):
     made = _fake(spark, 30, 3)
     limit = 60.0  # the cheapest choice emits several times as much
