@@ -13,19 +13,23 @@ from lanewright import policy as P
 from lanewright.functions.numbers import money_sum, rnd_total
 from lanewright.operators.ordered import running_totals
 
+UNITS = "decimal(28,6)"  # totals of quantities are exact, so they do not depend on the order of the rows
+
 
 def fill_cheapest(df: DataFrame, group: str | None = None) -> DataFrame:
     """Adds ``allocated`` per row and the group's ``total_cost`` and ``short`` (demand beyond capacity)."""
     groups = [group] if group else []
     sums = df.groupBy(*groups).agg(
-        F.sum("demand").alias("demand_total"), F.sum("capacity").alias("capacity_total"), F.min("unit_cost").alias("least_cost")
+        F.sum(F.col("demand").cast(UNITS)).alias("demand_total"), F.sum(F.col("capacity").cast(UNITS)).alias("capacity_total"),
+        F.min("unit_cost").alias("least_cost"),
     )
-    filled = running_totals(df, ["unit_cost", "id"], ["capacity"], groups)
+    filled = running_totals(df.withColumn("_units", F.col("capacity").cast(UNITS)), ["unit_cost", "id"], ["_units"], groups)
+    filled = filled.withColumnRenamed("_units_before", "capacity_before").drop("_units")
     filled = _attach(filled, sums, groups, ["demand_total", "capacity_total", "least_cost"])
-    need = F.greatest(F.lit(0.0), F.col("demand_total") - F.col("capacity_before"))
+    need = F.greatest(F.lit(0.0), (F.col("demand_total") - F.col("capacity_before")).cast("double"))
     checked = F.when(F.col("least_cost") < 0, F.raise_error(F.lit("unit costs must not be negative"))).otherwise(need)
     return filled.withColumn("allocated", F.least(F.col("capacity"), checked)).withColumn(
-        "short", F.greatest(F.lit(0.0), F.col("demand_total") - F.col("capacity_total"))
+        "short", F.greatest(F.lit(0.0), (F.col("demand_total") - F.col("capacity_total")).cast("double"))
     )
 
 

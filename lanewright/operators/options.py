@@ -18,6 +18,7 @@ from lanewright.functions.features import floor_zero
 from lanewright.functions.numbers import rnd
 from lanewright.functions.risk import tier, tier_confidence
 from lanewright.operators.ranking import first_match
+from lanewright.session import materialize
 
 FREIGHT = ("Air", "Rail", "Sea")
 OPTION_NAMES = (
@@ -68,6 +69,8 @@ def _with_lanes(shipments: DataFrame, lanes: DataFrame, modes: DataFrame) -> Dat
     terms = lane_terms(lanes, modes).select(
         F.col("origin_country").alias("supplier_country"), "destination_country", *[f"lane_{m.lower()}" for m in FREIGHT]
     )
+    # Written, the side has a known size: the planner sends it whole only if that is under its broadcast limit.
+    terms = materialize(terms, "lanes")
     return shipments.join(terms, ["supplier_country", "destination_country"], "left")
 
 
@@ -91,10 +94,12 @@ def secondary_supplier_join(shipments: DataFrame, suppliers: DataFrame, capacity
         .select("supplier_id", "secondary_supplier_id", "secondary_premium_pct")
         .join(lead, "secondary_supplier_id")
     )
+    paired = materialize(paired, "pairs")
     room = first_match(
         capacity.select(F.col("supplier_id").alias("secondary_supplier_id"), "product_category", "available_capacity_units"),
         ["secondary_supplier_id", "product_category"], ["available_capacity_units"],
     ).withColumnRenamed("available_capacity_units", "secondary_capacity")
+    room = materialize(room, "rooms")
     return shipments.join(paired, "supplier_id", "left").join(room, ["secondary_supplier_id", "product_category"], "left")
 
 
@@ -406,43 +411,58 @@ def _recommendation(status, action, cost, after, impact):
     ]
 
 
-def recommend_simple(with_opts: DataFrame) -> DataFrame:
-    """Recommendations for the two tiers that need no joint choice, in one projection."""
-    rows = tiered(with_opts).filter(F.col("tier") != P.TIER_FULL).withColumn("o", F.when(F.col("tier") == P.TIER_LOW, cheapest()))
+def _simple_terms() -> list[Column]:
+    """Status, action, cost, delay and impact from ``o``, the cheapest option of the low tier."""
     none, found = F.col("tier") == P.TIER_NONE, F.col("o").isNotNull()
     saved = rnd(F.coalesce(delay_launch_cost(), F.col("o.cost_usd")) - F.col("o.cost_usd"), 2)
-    return rows.select(
-        *_recommendation(
-            F.when(none, "Not_Required").when(found, "Heuristic_Optimal").otherwise("Infeasible"),
-            F.when(none, "No_Action_Required").when(found, F.col("o.option_name")).otherwise("No_Feasible_Option"),
-            F.coalesce(F.col("o.cost_usd"), F.lit(0.0)),
-            F.coalesce(F.col("o.expected_delay_days"), F.col("expected_delay_days")),
-            F.when(found, saved).otherwise(0.0),
-        )
-    )
+    return [
+        F.when(none, "Not_Required").when(found, "Heuristic_Optimal").otherwise("Infeasible"),
+        F.when(none, "No_Action_Required").when(found, F.col("o.option_name")).otherwise("No_Feasible_Option"),
+        F.coalesce(F.col("o.cost_usd"), F.lit(0.0)),
+        F.coalesce(F.col("o.expected_delay_days"), F.col("expected_delay_days")),
+        F.when(found, saved).otherwise(0.0),
+    ]
 
 
-def recommend_chosen(with_choice: DataFrame, status: Column) -> DataFrame:
-    """Recommendations of the full tier from a ``choice`` struct (null when nothing is possible)."""
+def _chosen_terms(status: Column) -> list[Column]:
+    """The same from a ``choice`` struct (null when nothing is possible)."""
     found = F.col("choice").isNotNull()
     total = F.col("choice.cost_usd") + F.col("choice.carbon_cost") + F.col("choice.late_penalty")
-    return with_choice.select(
-        *_recommendation(
-            F.when(found, status).otherwise("Infeasible"),
-            F.when(found, F.col("choice.option_name")).otherwise("No_Feasible_Option"),
-            F.coalesce(F.col("choice.cost_usd"), F.lit(0.0)),
-            F.coalesce(F.col("choice.expected_delay_days"), F.col("expected_delay_days")),
-            F.when(found, rnd(F.col("baseline") - total, 2)).otherwise(0.0),
-        )
-    )
+    return [
+        F.when(found, status).otherwise("Infeasible"),
+        F.when(found, F.col("choice.option_name")).otherwise("No_Feasible_Option"),
+        F.coalesce(F.col("choice.cost_usd"), F.lit(0.0)),
+        F.coalesce(F.col("choice.expected_delay_days"), F.col("expected_delay_days")),
+        F.when(found, rnd(F.col("baseline") - total, 2)).otherwise(0.0),
+    ]
+
+
+def _with_cheapest(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("o", F.when(F.col("tier") == P.TIER_LOW, cheapest()))
+
+
+def recommend_simple(with_opts: DataFrame) -> DataFrame:
+    """Recommendations for the two tiers that need no joint choice, in one projection."""
+    rows = _with_cheapest(tiered(with_opts).filter(F.col("tier") != P.TIER_FULL))
+    return rows.select(*_recommendation(*_simple_terms()))
+
+
+def recommend_chosen(with_choice: DataFrame, status: Column) -> DataFrame:
+    """Recommendations of the full tier from a ``choice`` struct (null when nothing is possible)."""
+    return with_choice.select(*_recommendation(*_chosen_terms(status)))
 
 
 def recommend_each(with_opts: DataFrame, budget: float = P.DEFAULT_BUDGET_USD, carbon: float = P.DEFAULT_CARBON_KG) -> DataFrame:
-    """Every shipment on its own, as in the one-at-a-time path: no shipment takes capacity from another."""
-    full = effective_offers(tiered(with_opts).filter(F.col("tier") == P.TIER_FULL))
+    """Every shipment on its own, as in the one-at-a-time path: no shipment takes capacity from another.
+
+    One pass for all tiers, so the options are joined and priced once.
+    """
+    full = F.col("tier") == P.TIER_FULL
+    rows = _with_cheapest(effective_offers(tiered(with_opts)))
     allowed = F.filter("offers", lambda o: (o["cost_usd"] <= budget) & (o["emission_kg"] <= carbon))
-    chosen = full.withColumn("choice", F.array_min(allowed)).withColumn("baseline", delay_launch_cost())
-    return recommend_simple(with_opts).unionByName(recommend_chosen(chosen, F.lit("Optimal")))
+    rows = rows.withColumn("choice", F.when(full, F.array_min(allowed))).withColumn("baseline", delay_launch_cost())
+    terms = zip(_chosen_terms(F.lit("Optimal")), _simple_terms())
+    return rows.select(*_recommendation(*[F.when(full, chosen).otherwise(simple) for chosen, simple in terms]))
 
 
 def project_rename(recommendations: DataFrame) -> DataFrame:

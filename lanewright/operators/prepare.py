@@ -67,15 +67,12 @@ def onehot_name(column: str, value: str) -> str:
     return f"{column}_{value}"
 
 
-def fit_levels(df: DataFrame, columns: list[str], most: int = 10_000) -> dict[str, list[str]]:
-    """Distinct levels per nominal column.  Each level becomes a column, so their number is checked."""
-    levels: dict[str, list[str]] = {c: [] for c in columns}
-    rows = value_frequencies(df, columns).select("column_name", "value").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} levels to one-hot encode")
-    for r in rows:
-        levels[r["column_name"]].append(r["value"])
-    return {c: sorted(v) for c, v in levels.items()}
+def fit_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Distinct levels per nominal column, all of them: each becomes a column of the encoded rows."""
+    best = F.array_sort(F.collect_set("value")).alias("found")
+    rows = value_frequencies(df, columns).groupBy("column_name").agg(best).collect()  # one row per column
+    levels = {r["column_name"]: r["found"] for r in rows}
+    return {c: levels.get(c, []) for c in columns}
 
 
 def encode_onehot(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:

@@ -130,8 +130,8 @@ def pending_count(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     return pending_decisions(decisions, outcomes).agg(F.count("*").alias("pending_outcome_count"))
 
 
-def append_decisions(existing: DataFrame, new: DataFrame, order: list[str], now=None) -> DataFrame:
-    """Existing decisions plus the new ones, which get the next ids in the given order.
+def new_decisions(existing: DataFrame, new: DataFrame, order: list[str], now=None) -> DataFrame:
+    """Only the new decisions, with the next ids in the given order, ready to be appended to the table.
 
     Positions come from the sliced running total, so the numbering of a large
     batch is not done in one task.  A missing ``created_at`` becomes ``now``.
@@ -141,7 +141,12 @@ def append_decisions(existing: DataFrame, new: DataFrame, order: list[str], now=
     created = F.coalesce(F.col("created_at"), stamp) if "created_at" in new.columns else stamp
     numbered = running_totals(new.withColumn("_one", F.lit(1)), order, ["_one"])
     ready = numbered.withColumn("id", top + F.col("_one_before") + 1).withColumn("created_at", created)
-    return existing.unionByName(ready.select(*existing.columns))
+    return ready.select(*existing.columns)
+
+
+def append_decisions(existing: DataFrame, new: DataFrame, order: list[str], now=None) -> DataFrame:
+    """The table as it reads after ``new_decisions`` were appended."""
+    return existing.unionByName(new_decisions(existing, new, order, now))
 
 
 def append_outcomes(decisions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

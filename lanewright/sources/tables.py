@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DoubleType, FloatType, StringType, StructField, StructType
 
 from lanewright.functions.risk import delay_status
+from lanewright.operators.ordered import running_totals
 
 # Target column: (source names in order of preference, default, type).  Fixed values.
 WAREHOUSE_SEED = {
@@ -30,7 +31,7 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str, **options
     """A CSV with header: the declared columns, found by their names in the header line.
 
     The types are declared, because inference would read the data twice.  Other columns are left out, a column that the
-    file lacks is an error before any job runs, and so is a cell that is not of its type when it is read.
+    file lacks is an error before any job runs, and so is a cell that is not of its type when it is read.  NaN becomes null.
     """
     declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     types = {f.name: f.dataType for f in declared.fields}
@@ -40,7 +41,13 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str, **options
         raise ValueError(f"{path} has no column {missing}")
     ordered = StructType([StructField(name, types.get(name, StringType()), True) for name in header])
     rows = spark.read.schema(ordered).options(header=True, enforceSchema=False, mode="FAILFAST", **options).csv(path)
-    return rows.select(*[f"`{name}`" for name in types])
+    return nan_to_null(rows.select(*[f"`{name}`" for name in types]))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating columns with null in place of NaN; all other columns as they are."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floating}) if floating else df
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -113,15 +120,20 @@ def map_columns(df: DataFrame, spec: dict) -> DataFrame:
     """Pick for every target the first source column that exists, else the default.
 
     The choice depends on the columns present, not on nulls.  Values that do not
-    cast become null.  A warehouse without any id column gets ``WH_`` plus a hash.
+    cast become null.  Warehouses without any id column are numbered from ``WH_100000`` on, equal rows too, so that an id is
+    never given twice; the running number is not made in one task.
     """
     picked = []
+    columns = df.columns
+    if "warehouse_id" in spec and not any(s in columns for s in spec["warehouse_id"][0]):
+        marked = df.select("*", F.to_json(F.struct(*columns)).alias("_body"), F.monotonically_increasing_id().alias("_place"), F.lit(1).alias("_one"))
+        df = running_totals(marked, ["_body", "_place"], ["_one"])
     for target, (sources, default, kind) in spec.items():
-        source = next((s for s in sources if s in df.columns), None)
+        source = next((s for s in sources if s in columns), None)
         if source is not None:
             value = F.col(source).try_cast(kind)
         elif target == "warehouse_id":
-            value = F.concat(F.lit("WH_"), F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 16))
+            value = F.concat(F.lit("WH_"), (F.col("_one_before") + 100_000).cast("string"))
         else:
             value = F.lit(default).cast(kind)
         picked.append(value.alias(target))

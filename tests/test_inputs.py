@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lanewright.operators import ranking, versions
+from lanewright.operators import ranking, roi, versions
 from lanewright.sources import tables
 
 
@@ -47,3 +47,21 @@ def test_ids_that_match_nothing_are_an_error(spark):
     assert ranking.isin_filter(df, spark.createDataFrame([(1,)], "id int"), "id").count() == 1
     with pytest.raises(ValueError, match="no rows"):
         ranking.isin_filter(df, spark.createDataFrame([(2,)], "id int"), "id")
+
+
+def test_csv_nan_is_null(spark, tmp_path):
+    path = _write(tmp_path / "d", "price", "NaN", "1.5")
+    assert {r["price"] for r in tables.scan_csv(spark, path, "price double").collect()} == {None, 1.5}
+
+
+def test_seeded_warehouses_without_ids_are_numbered(spark):
+    raw = spark.createDataFrame([("North", 1.0), ("North", 1.0), ("South", 2.0)], "zone string, Demand double")
+    got = sorted(r["warehouse_id"] for r in tables.map_columns(raw, tables.WAREHOUSE_SEED).collect())
+    assert got == ["WH_100000", "WH_100001", "WH_100002"]
+
+
+def test_new_decisions_are_only_the_new_rows(spark):
+    old = spark.createDataFrame([(7, "w", None)], "id bigint, warehouse_id string, created_at timestamp")
+    new = spark.createDataFrame([(2, "b"), (1, "a")], "request_no bigint, warehouse_id string")
+    rows = roi.new_decisions(old, new, ["request_no"], now="2024-01-02 00:00:00").collect()
+    assert sorted((r["id"], r["warehouse_id"]) for r in rows) == [(8, "a"), (9, "b")]
