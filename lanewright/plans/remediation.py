@@ -12,7 +12,6 @@ from lanewright.plans.registry import query, rounded as R
 from lanewright.policy import BreakerPolicy
 from lanewright.session import shared_folder
 from lanewright.sources.snapshots import SnapshotStore
-from lanewright.sources.tables import append_table
 from lanewright.streaming import breaker_stream as live
 
 POLICY = BreakerPolicy(threshold=25.0, base_total=0, base_errors=0, reset_errors=0)
@@ -166,15 +165,18 @@ def windowed_error_rate_stream(t):
     return ranking.first_match(parts.withColumn("newest", -F.col("epoch")), ["window_start"], ["newest"]).drop("newest", "epoch")
 
 
-@query("state_change_feed")
+@query("state_change_feed", f"""with {states_sql()},
+moves as (select node, batch_id, coalesce(lag(state) over (partition by node order by batch_id), 'CLOSED') as previous_state, state from states)
+select * from moves where previous_state <> state""")
 def state_change_feed(t):
     folder = f"{shared_folder(t.spark)}/feed-{uuid.uuid4().hex}"
 
     def keep(changes, epoch):
-        append_table(changes.select("node", "batch_id", "previous_state", "state"), f"{folder}/changes")
+        # A replayed micro-batch overwrites its own folder.
+        changes.select("node", "batch_id", "previous_state", "state").write.mode("overwrite").parquet(f"{folder}/changes/epoch={epoch}")
 
     live.state_change_feed(_evaluations(t), [keep], f"{folder}/log").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/changes")
+    return t.spark.read.parquet(f"{folder}/changes").drop("epoch")
 
 
 # --- table versions ---------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from lanewright.operators import breaker, reports
 from lanewright.plans.registry import query
 from lanewright.plans.remediation import POLICY, _event_stream, states, states_sql
-from lanewright.session import shared_folder
+from lanewright.session import materialize, shared_folder
 from lanewright.sources import tables
 from lanewright.streaming import breaker_stream as live
 
@@ -81,7 +81,7 @@ from events e join states s on s.node = 'node-' || cast(e.user_id as string) and
 def route_stream(t):
     """The events stream written to its main and dead-letter folders, read back with the folder each row is in."""
     folder = _folder(t, "routed")
-    decided = states(t)
+    decided = materialize(states(t), "states")  # written once, not counted again from all events in every micro-batch
 
     def decide(batch):
         tagged = batch.withColumns(
