@@ -11,7 +11,7 @@ INFINITE = float("inf")
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], window_rows: int = 2_000_000
+    df: DataFrame, columns: list[str], probs: list[float], window_rows: int = 20_000
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolated quantiles, exact, as ``{column: {prob: value}}``.
 
