@@ -68,12 +68,58 @@ def op4(spark, table):
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-@query("op5_near_dedup")
+NEAR_SQL = """
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents
+), o as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as p, len(words) as n from w),
+f as (
+    select doc_id, p, n, word || ' ' || lead(word) over d || ' ' || lead(word, 2) over d || ' ' || lead(word, 3) over d || ' ' || lead(word, 4) over d as shingle
+    from o window d as (partition by doc_id order by p)
+), s as (
+    select doc_id, list(distinct shingle order by shingle) as shingles from (
+        select doc_id, md5_number(shingle) as shingle from f where shingle is not null
+        union all select doc_id, md5_number(array_to_string(words, ' ')) from w where len(words) between 1 and 4
+    ) group by doc_id
+), c as (select min(doc_id) as rep, shingles, len(shingles) as n from s group by shingles),
+x as (select rep, n, unnest(shingles) as shingle from c),
+l as (
+    select a.rep as a, b.rep as b from x a join x b on a.shingle = b.shingle and a.rep < b.rep
+    group by a.rep, a.n, b.rep, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e as (select a, b from l union all select b, a from l),
+r(node, seen) as (select rep, rep from c union select r.node, e.b from r join e on r.seen = e.a),
+m as (select node, min(seen) as component_id from r group by node)
+select w.doc_id, coalesce(len(s.shingles), 0) as n_shingles, coalesce(m.component_id, w.doc_id) as component_id,
+    w.doc_id = coalesce(m.component_id, w.doc_id) as kept
+from w left join s using (doc_id) left join c on s.shingles = c.shingles left join m on c.rep = m.node
+"""
+
+
+@query("op5_near_dedup", NEAR_SQL)
 def op5(spark, table):
     return near_dedup.near_components(table("documents"), 85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-@query("op6_repeated_bytes")
+REPEAT_SQL = """
+with d as (select row_number() over () as rid, doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+k as (select rid, o, substr(h, 2 * o + 1, 2 * (64 + 199)) as part from (select rid, h, unnest(range(0, len(h) // 2 - 199, 64)) as o from d)),
+p as materialized (select rid, o + i as place, hash(substr(part, 2 * i + 1, 400)) as string
+    from (select rid, o, part, unnest(range(0, least(64, len(part) // 2 - 199))) as i from k)),
+q as (select rid, place from p where string in (select string from p group by string having count(*) > 1)),
+g as (select rid, place, case when place > lag(place) over (partition by rid order by place) + 200 then 1 else 0 end as fresh from q),
+n as (select rid, place, sum(fresh) over (partition by rid order by place) as run from g),
+v as (select rid, min(place) as a, max(place) + 200 as b from n group by rid, run),
+z as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as before from v),
+t as (
+    select rid, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head
+    from z join d using (rid) group by rid
+)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) as kept_sha256
+from d left join t using (rid)
+"""
+
+
+@query("op6_repeated_bytes", REPEAT_SQL)
 def op6(spark, table):
     cut = suffix_dedup.remove_repeats(table("documents"))
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
@@ -123,10 +169,44 @@ def op9(spark, table):
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
-@query("op8_preference_format")
+PAIR_SQL = """
+with c as (
+    select conv_id, list({'n': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+    from conversations where conv_id is not null group by conv_id
+), p as (
+    select conv_id // 2 as pair_id, arg_max(conv_id, len(turns) * 2 - conv_id % 2) as chosen, arg_min(conv_id, len(turns) * 2 - conv_id % 2) as rejected
+    from c group by conv_id // 2 having count(*) = 2
+), j as (
+    select p.*, list_transform(x.turns, lambda t: {'role': t.role, 'text': t.text}) as a, list_transform(y.turns, lambda t: {'role': t.role, 'text': t.text}) as b
+    from p join c x on chosen = x.conv_id join c y on rejected = y.conv_id
+), k as (
+    select *, coalesce((select min(i) - 1 from (select unnest(range(1, least(len(a), len(b)) + 1)) as i) where a[i] <> b[i]), least(len(a), len(b))) as n_common from j
+), s as (
+    select pair_id, 'prompt' as side, a[1:n_common] as turns from k union all select pair_id, 'chosen', a[n_common + 1:] from k
+    union all select pair_id, 'rejected', b[n_common + 1:] from k
+), u as (select pair_id, side, unnest(turns) as t, generate_subscripts(turns, 1) as i from s),
+f as (
+    select pair_id, side, i, t.role as role, '<|' || t.role || '|>' || chr(10) as header, t.text || '<|end|>' || chr(10) as body from u
+), h as (
+    select *, sum(len(header) + len(body)) over (partition by pair_id, side order by i) as last from f
+), o as (
+    select pair_id, side, string_agg(header || body, '' order by i) as text,
+        string_agg((last - len(body)) || ':' || last, ' ' order by i) filter (role = 'assistant') as mask from h group by pair_id, side
+)
+select pair_id, chosen, rejected, cast(n_common as integer) as n_common, coalesce(q.text, '') as prompt, coalesce(x.text, '') as chosen_text, coalesce(x.mask, '') as chosen_mask,
+    coalesce(y.text, '') as rejected_text, coalesce(y.mask, '') as rejected_mask
+from k left join (from o where side = 'prompt') q using (pair_id) left join (from o where side = 'chosen') x using (pair_id)
+    left join (from o where side = 'rejected') y using (pair_id)
+"""
+
+
+@query("op8_preference_format", PAIR_SQL)
 def op8(spark, table):
+    """Masks as text, ``start:end`` of each span, so that SQL can state them."""
     turns = table("conversations")
-    return preferences.format_pairs(preferences.opening_pairs(turns), turns)
+    made = preferences.format_pairs(preferences.opening_pairs(turns), turns)
+    masks = [f"{side}_mask" for side in ("chosen", "rejected")]
+    return made.withColumns({m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"], s["end"])), " ") for m in masks})
 
 
 def mask_join(left: str, right: str) -> str:

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_matches_its_check(spark, name):
     con = oracle_connection(SF)
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create or replace view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     status, _, _, note = compare(spark, con, SF, name, QUERIES[name], CHECKS[name])
     assert status == "ok", note
