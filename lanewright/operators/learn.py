@@ -56,28 +56,34 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def train_classifier(train: DataFrame, label: str, **params) -> Model:
     """Boosted trees on a ``features`` vector."""
-    settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42} | params
+    settings = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42} | params  # fixed values
     return GBTClassifier(labelCol=label, weightCol="weight", **settings).fit(class_weights(train, label))
 
 
 def train_forest(train: DataFrame, label: str, **params) -> Model:
-    settings = {"numTrees": 100, "seed": 42} | params
+    settings = {"numTrees": 100, "seed": 42} | params  # fixed values
     return RandomForestClassifier(labelCol=label, **settings).fit(train)
 
 
 def train_duration(train: DataFrame, label: str, **params) -> Model:
-    settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42} | params
+    settings = {
+        "maxIter": 350, "maxDepth": 5, "stepSize": 0.06, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "minInstancesPerNode": 3, "seed": 42,
+    } | params  # fixed values
     return GBTRegressor(labelCol=label, **settings).fit(train)
 
 
-def search_space(n: int, seed: int = 42) -> list[dict]:
-    """Random draws for boosted trees: step, depth, rounds, row share, least gain and least rows per node."""
+def search_space(n: int, seed: int = 42, forest: bool = False) -> list[dict]:
+    """Random draws: depth, row share, least gain and least rows per node, with step and rounds of boosted trees or trees and column share of a forest."""
     draw = random.Random(seed)
+
+    def own() -> dict:
+        if forest:
+            return {"numTrees": draw.randint(20, 60), "featureSubsetStrategy": str(round(draw.uniform(0.6, 1.0), 3))}
+        return {"stepSize": draw.uniform(0.01, 0.30), "maxIter": draw.randint(150, 649)}
+
     return [
-        {
-            "stepSize": draw.uniform(0.01, 0.30),
+        own() | {
             "maxDepth": draw.randint(3, 9),
-            "maxIter": draw.randint(150, 649),
             "subsamplingRate": draw.uniform(0.6, 1.0),
             "minInfoGain": draw.uniform(0.0, 0.05),
             "minInstancesPerNode": draw.randint(1, 9),
@@ -86,20 +92,27 @@ def search_space(n: int, seed: int = 42) -> list[dict]:
     ]
 
 
-def tune_classifier(train: DataFrame, label: str, keys: list[str], draws: int = 30, folds: int = 5, parallelism: int = 4, space=None, seed: int = 42):
-    """Random search with stratified folds on ROC AUC; returns (best model, one row per draw)."""
+def tune_classifier(
+    train: DataFrame, label: str, keys: list[str], draws: int = 30, folds: int = 5, parallelism: int = 4, space=None, seed: int = 42, forest: bool = False
+):
+    """Random search with stratified folds on ROC AUC; returns (best model, one row per draw).
+
+    A boosted fit takes some thousand Spark jobs, one after the other, and ``draws * folds`` of them take hours; a ``forest`` grows all its trees at once, in
+    about as many jobs as its depth.
+    """
     spark = train.sparkSession
     drawn = train.withColumn("_draw", hash52(*keys, F.lit(str(seed)))).withColumn("_one", F.lit(1))
     dealt = running_totals(drawn, ["_draw", *keys], ["_one"], [label])
     folded = class_weights(dealt, label).withColumn("fold", (F.col("_one_before") % folds).cast("int")).drop("_draw", "_one", "_one_before")
-    estimator = GBTClassifier(labelCol=label, weightCol="weight", seed=seed)
-    candidates = space or search_space(draws, seed)
+    family = RandomForestClassifier if forest else GBTClassifier
+    estimator = family(labelCol=label, weightCol="weight", seed=seed)
+    candidates = space or search_space(draws, seed, forest)
     maps = [{estimator.getParam(k): v for k, v in c.items()} for c in candidates]
     judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed
     )
-    fitted = search.fit(folded)
+    fitted = search.fit(materialize(folded, "folds"))
     rows = [(i, float(m), *(float(v) for v in c.values())) for i, (m, c) in enumerate(zip(fitted.avgMetrics, candidates))]
     names = ", ".join(f"{k} double" for k in candidates[0])
     return fitted.bestModel, spark.createDataFrame(rows, f"draw int, mean_auc double, {names}")

@@ -15,6 +15,7 @@ from lanewright.functions.features import encode_ordinal, engineer_features
 from lanewright.operators.profile import correlation_matrix, quartile_fences, value_frequencies
 from lanewright.operators.quantiles import exact_quantiles
 from lanewright.operators.sets import align_columns, schema_check
+from lanewright.session import materialize
 
 NUMERIC = (
     "supplier_rating", "expected_lead_time", "historical_delay_count", "inventory_level", "inventory_days",
@@ -143,7 +144,8 @@ def preprocess_fit(df: DataFrame, nominal=NOMINAL, numeric=NUMERIC) -> Preparati
     nominal, numeric = list(nominal), list(numeric)
     categories = nominal + list(P.ORDINAL_LEVELS)
     prep = Preparation()
-    rows = df.dropDuplicates()
+    # Every step below passes over these rows again, so they are de-duplicated once.
+    rows = materialize(df.dropDuplicates(), "distinct")
     prep.medians = fit_medians(rows, numeric)
     prep.modes = fit_modes(rows, categories)
     filled = impute_mode(impute_median(rows, prep.medians), prep.modes)

@@ -320,6 +320,14 @@ def _needs(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", VIEWS[name])
 
 
+def base_tables(names) -> set[str]:
+    """The given tables behind tables or views."""
+    found: set[str] = set()
+    for name in names:
+        found |= base_tables(_needs(name)) if name in VIEWS else {name}
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -270,16 +270,16 @@ def _limits(t):
     return MONEY_PER_SHIPMENT * n, CARBON_PER_SHIPMENT * n
 
 
-_SOLVED: dict[tuple[str, str], joint.Joint] = {}
+_SOLVED: dict[tuple, joint.Joint] = {}
 
 
 def full_tier(t):
     """The joint choice over every shipment of the full tier; returns (priced rows, joint result).
 
-    The choice ends in written tables, so the queries of one session that read it share it.
+    The choice ends in written tables, so the queries of one session that read it share it as long as no input file changes.
     """
     rows = options.with_options(active(t).filter(F.col("delay_probability") >= P.HIGH_RISK), references(t))
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    key = t.stamp("shipments", "delay_predictions", *REFS)
     if key not in _SOLVED:
         budget, carbon = _limits(t)
         _SOLVED[key] = joint.joint_assign(rows, _enforced(t), budget, carbon)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lanewright import policy as P
 from lanewright.functions import features as X
 from lanewright.functions.numbers import flag, rnd
-from lanewright.operators import learn, metrics, prepare
+from lanewright.operators import learn, metrics, prepare, reports
+from lanewright.plans import choice
 from lanewright.plans.registry import query, rounded as R
 from lanewright.session import materialize, shared_folder
 from lanewright.sources.tables import load_tables, table_counts
@@ -145,12 +146,12 @@ def table_scan(t):
 
 
 # --- training: rows-only, invariants in the tests -----------------------------------
-_PREPARED: dict[tuple[str, str], tuple] = {}
+_PREPARED: dict[tuple, tuple] = {}
 
 
 def prepared(t):
-    """(preparation, train, test): split first, fitted on the training rows only; shared within a session."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    """(preparation, train, test): split first, fitted on the training rows only; shared within a session until an input file changes."""
+    key = t.stamp("cargo")
     if key not in _PREPARED:
         rows = learn.plain_split(X.derived_features(t("cargo")), KEY)
         rows = materialize(rows, "cargo")
@@ -179,17 +180,26 @@ def preprocess_apply(t):
     return train.unionByName(test).drop("delay_days")
 
 
-_MODELS: dict[tuple[str, str], object] = {}
+_MODELS: dict[tuple, object] = {}
 
 
-def classifier(t):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+def _fitted(t, name, train, **params):
+    """A model of the prepared rows; the queries that use it share it until an input file changes."""
+    key = (name, *params.values(), *t.stamp("cargo"))
     if key not in _MODELS:
-        prep, train, _ = prepared(t)
-        _MODELS[key] = learn.train_classifier(learn.assemble(train, prep.features), "delay", maxIter=10)
+        prep, rows, _ = prepared(t)
+        _MODELS[key] = train(learn.assemble(rows, prep.features), name, **params)
     return _MODELS[key]
 
 
+def classifier(t, **params):
+    return _fitted(t, "delay", learn.train_classifier, **params)
+
+
+def duration_model(t, **params):
+    return _fitted(t, "delay_days", learn.train_duration, **params)
+
+
 def _scored(t):
     prep, _, test = prepared(t)
     return learn.score_batch(learn.assemble(test, prep.features), classifier(t))
@@ -225,25 +235,45 @@ def explain_global(t):
 @query("train_forest")
 def train_forest(t):
     prep, train, test = prepared(t)
-    model = learn.train_forest(learn.assemble(train, prep.features), "delay", numTrees=20)
+    model = learn.train_forest(learn.assemble(train, prep.features), "delay")
     made = learn.score_batch(learn.assemble(test, prep.features), model)
     return metrics.classification_metrics(made.select(F.col("delay").alias("label"), F.col("delay_probability").alias("probability")))
 
 
 @query("train_duration")
 def train_duration(t):
-    prep, train, test = prepared(t)
-    model = learn.train_duration(learn.assemble(train, prep.features), "delay_days", maxIter=5)
-    made = learn.score_duration(learn.assemble(test, prep.features), model)
+    prep, _, test = prepared(t)
+    made = learn.score_duration(learn.assemble(test, prep.features), duration_model(t))
     return metrics.regression_metrics(made.select(F.col("delay_days").alias("actual"), F.col("expected_delay_days").alias("predicted")))
 
 
 @query("tune_classifier")
 def tune_classifier(t):
+    """30 draws in 5 folds over forests; the same search over boosted trees takes hours."""
     prep, train, _ = prepared(t)
-    space = [{"stepSize": s, "maxDepth": d, "maxIter": 3} for s, d in ((0.1, 3), (0.3, 4))]
     rows = learn.assemble(train, prep.features).select(*KEY, "features", "delay")
-    return learn.tune_classifier(rows, "delay", KEY, folds=2, space=space)[1]
+    return learn.tune_classifier(rows, "delay", KEY, parallelism=8, forest=True)[1]
+
+
+def score_active(t, **params):
+    """Probability and expected delay of every shipment by the two models, written once, in place of the given predictions."""
+    prep, train, test = prepared(t)
+    rows = learn.assemble(train.drop("delay", "delay_days").unionByName(test.drop("delay", "delay_days")), prep.features)
+    both = learn.score_duration(learn.score_batch(rows, classifier(t, **params)), duration_model(t, **params))
+    scores = both.select(*KEY, "delay_probability", F.col("delay_prediction").alias("predicted_delay_flag"), "expected_delay_days")
+    t.known["delay_predictions"] = materialize(scores, "scores")
+    return t
+
+
+@query("recommend_scored")
+def recommend_scored(t):
+    """The whole flow: both models score the shipments, the probability sets the tier, and the tier decides between options."""
+    return choice.each(score_active(t))
+
+
+@query("scored_kpis")
+def scored_kpis(t):
+    return reports.batch_kpis(choice.each(score_active(t)), P.DEFAULT_BUDGET_USD, P.DEFAULT_CARBON_KG)
 
 
 @query("model_save_load")
@@ -263,6 +293,6 @@ def warehouse_model(t):
     cols = [F.coalesce(F.col(c), F.lit(0)).alias(c) if c in raw.columns else F.lit(0).alias(c) for c in learn.WAREHOUSE_FEATURES]
     rows = learn.assemble(raw.select("warehouse_id", "is_delayed", *cols), list(learn.WAREHOUSE_FEATURES))
     split = learn.plain_split(rows, ["warehouse_id"])
-    model = learn.train_classifier(split.filter("is_test = 0"), "is_delayed", maxIter=5)
+    model = learn.train_classifier(split.filter("is_test = 0"), "is_delayed")
     made = learn.score_batch(rows, model, learn.WAREHOUSE_RISK_ABOVE, strict=True)
     return made.select("warehouse_id", "delay_probability", F.col("delay_prediction").alias("is_high_risk"))

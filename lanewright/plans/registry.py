@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanewright.plans.bindings import bind, with_views
+from lanewright.plans.bindings import base_tables, bind, with_views
 from lanewright.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,15 @@ class Inputs:
         self.known[name] = materialize(self(name), name)
         return self.known[name]
 
+    def stamp(self, *names: str) -> tuple:
+        """The session, the folder and the state of the files behind tables or views: what is stored under it is made again when a file changes."""
+        file = F.xxhash64("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string"))
+        found = [self.spark.sparkContext.applicationId, self.sf_dir]
+        for name in sorted(base_tables(names)):
+            files = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").select(file.alias("file")).distinct()
+            found.append(files.agg(F.sum(F.col("file").cast("decimal(38,0)"))).first()[0])
+        return tuple(found)
+
     def many(self, *names: str) -> dict[str, DataFrame]:
         return {name: self(name) for name in names}
 

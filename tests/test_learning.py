@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from lanewright.functions import features as X
 from lanewright.operators import learn, metrics, prepare
+from lanewright.plans import choice, modelling
 from lanewright.plans.bindings import bind
+from lanewright.plans.registry import Inputs
 from lanewright.session import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,33 @@ def test_classifier_passes_the_gate_on_separable_rows(spark, tmp_path):
     change = {r["feature"]: r["mean_abs_change"] for r in explained.collect()}
     assert change["c"] == 0 and min(change["a"], change["b"]) > 0.05
     assert {"stepSize", "maxDepth", "maxIter"} <= set(learn.search_space(2)[0])
+    assert {"numTrees", "maxDepth"} <= set(learn.search_space(2, forest=True)[0])
+
+
+def test_scored_flow_follows_the_stored_scores(spark):
+    t = modelling.score_active(Inputs(spark, SF), maxIter=3)
+    scores = {r["shipment_id"]: r for r in t("delay_predictions").collect()}
+    options = {r["shipment_id"]: r for r in choice.optioned(t).select("shipment_id", "options").collect()}
+    made = choice.each(t).collect()
+    assert len(made) == len(scores) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert {r["shipment_id"] for r in made} == set(scores)
+    for r in made:
+        score = scores[r["shipment_id"]]
+        p = score["delay_probability"]
+        assert r["delay_probability"] == p and score["expected_delay_days"] >= 0 and (abs(p - 0.5) < 1e-4 or score["predicted_delay_flag"] == int(p >= 0.5))
+        assert r["tier"] == ("NO_ACTION_REQUIRED" if p < 0.4 else "LOW_COST_MITIGATION" if p < 0.7 else "FULL_OPTIMIZATION")
+        names = {o["option_name"]: o for o in options[r["shipment_id"]]["options"]}
+        if r["tier"] == "NO_ACTION_REQUIRED":
+            assert (r["recommended_action"], r["estimated_cost_usd"]) == ("No_Action_Required", 0)
+        elif r["recommended_action"] != "No_Feasible_Option":
+            assert names[r["recommended_action"]]["feasible"] and names[r["recommended_action"]]["cost_usd"] == r["estimated_cost_usd"]
+
+
+def test_models_are_made_again_when_a_file_changes(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    rows.limit(50).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Inputs(spark, str(tmp_path))
+    before = t.stamp("cargo")
+    assert t.stamp("cargo") == before
+    rows.limit(60).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    assert t.stamp("cargo") != before
