@@ -78,7 +78,7 @@ def search_space(n: int, seed: int = 42, forest: bool = False) -> list[dict]:
 
     def own() -> dict:
         if forest:
-            return {"numTrees": draw.randint(20, 60), "featureSubsetStrategy": str(round(draw.uniform(0.6, 1.0), 3))}
+            return {"numTrees": draw.randint(10, 30), "featureSubsetStrategy": str(round(draw.uniform(0.6, 1.0), 3))}
         return {"stepSize": draw.uniform(0.01, 0.30), "maxIter": draw.randint(150, 649)}
 
     return [
