@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lanewright.operators import breaker, ranking, sets, versions
+from lanewright.operators import breaker, sets, versions
 from lanewright.plans.bindings import SCHEMAS
 from lanewright.plans.registry import query, rounded as R
 from lanewright.policy import BreakerPolicy
@@ -119,9 +119,12 @@ def incident_history(t):
     return breaker.incident_history(_incidents(t), NOW).select("incident_code", "pipeline_node", "batch_id", "status", "duration_seconds")
 
 
-@query("windowed_error_rate", f"""
+WINDOW_SQL = f"""
 select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as total, count(case when event_type = 'error' then 1 end) as errors,
-  {R("count(case when event_type = 'error' then 1 end) * 1e2 / count(*)", 2)} as error_rate from events group by date_trunc('day', ts)""")
+  {R("count(case when event_type = 'error' then 1 end) * 1e2 / count(*)", 2)} as error_rate from events group by date_trunc('day', ts)"""
+
+
+@query("windowed_error_rate", WINDOW_SQL)
 def windowed_error_rate(t):
     made = live.windowed_error_rate(t("events"), "ts", F.col("event_type") == "error", "1 day")
     return made.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
@@ -137,7 +140,7 @@ def sliding_error_rate(t):
     return made.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-# --- live twins: rows-only, compared with the batch results in the tests ----------
+# --- live twins: the check SQL states the batch result -----------------------------
 def _event_stream(t):
     return live.read_stream(t.spark, t.sf_dir, SCHEMAS["events"], "events.parquet")
 
@@ -148,21 +151,23 @@ def _evaluations(t):
     return live.evaluate_batch_stream(_event_stream(t), node, day, F.col("event_type") == "error", POLICY)
 
 
-@query("stream_source")
+@query("stream_source", "select event_id, event_type, value from events")
 def stream_source(t):
     return live.run_to_table(_event_stream(t).select("event_id", "event_type", "value"), "source", "append").drop("epoch")
 
 
-@query("evaluate_batch_stream")
+@query("evaluate_batch_stream", f"""with {states_sql()}
+select node, batch_id, total, errors, total_events, error_events, error_rate, state, coalesce(lag(state) over (partition by node order by batch_id), 'CLOSED') as previous_state,
+  case state when 'OPEN' then 'warehouses_dlq_stream' else 'warehouses_main_stream' end as destination from states""")
 def evaluate_batch_stream(t):
-    return live.run_to_table(_evaluations(t), "breaker").drop("epoch")
+    return live.latest(live.run_to_table(_evaluations(t), "breaker"), ["node", "batch_id"])
 
 
-@query("windowed_error_rate_stream")
+@query("windowed_error_rate_stream", WINDOW_SQL)
 def windowed_error_rate_stream(t):
     made = live.windowed_error_rate(_event_stream(t), "ts", F.col("event_type") == "error", "1 day", late="1 hour")
-    parts = live.run_to_table(made, "windows")
-    return ranking.first_match(parts.withColumn("newest", -F.col("epoch")), ["window_start"], ["newest"]).drop("newest", "epoch")
+    found = live.latest(live.run_to_table(made, "windows"), ["window_start"])
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("state_change_feed", f"""with {states_sql()},

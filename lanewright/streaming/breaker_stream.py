@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lanewright.functions.numbers import rnd_total
 from lanewright.operators.breaker import CLOSED, HALF_OPEN, OPEN
+from lanewright.operators.ranking import first_match
 from lanewright.policy import BreakerPolicy
 from lanewright.session import shared_folder
 
@@ -23,7 +24,8 @@ EVALUATION = (
     "node string, batch_id bigint, total bigint, errors bigint, total_events bigint, error_events bigint, "
     "error_rate double, state string, previous_state string, destination string"
 )
-STATE = "total bigint, errors bigint, status string"
+#: Totals and status before the open batch, and what has come of that batch so far.
+STATE = "total bigint, errors bigint, status string, open_id bigint, open_total bigint, open_errors bigint"
 COUNTS = "node string, batch_id bigint, total bigint, errors bigint"
 
 
@@ -48,10 +50,12 @@ def _half_up(rate: float) -> float:
 
 
 def evaluate_batch_stream(events: DataFrame, node: Column, batch: Column, is_error: Column, policy: BreakerPolicy = BreakerPolicy()) -> DataFrame:
-    """Running state per node over a stream of events: one output row per node and batch.
+    """Running state per node over a stream of events: a row per node and batch, given again when more of the batch arrives.
 
     A batch is named by the data (a day, say), not by the micro-batch number, so a
-    replay gives the same rows.  Batches of a node must arrive in order.
+    replay gives the same rows.  The newest batch of a node stays open: what comes of it in a later micro-batch is added to
+    it and it is judged anew from the totals before it, so its newest row (see ``latest``) does not depend on how the events were cut into files.  Batches
+    of a node must arrive in order; rows of a batch that a newer one has closed count in the open one.
     """
     tagged = events.select(
         node.alias("node"), batch.cast("bigint").alias("batch_id"), F.lit(1).cast("bigint").alias("total"),
@@ -59,26 +63,30 @@ def evaluate_batch_stream(events: DataFrame, node: Column, batch: Column, is_err
     )
     counted = tagged.mapInPandas(_partial_counts, COUNTS)
 
+    def judged(total: int, errors: int, before: str, n: int, bad: int) -> tuple[int, int, float, str]:
+        total, errors = total + n, errors + bad
+        rate = _half_up(100.0 * errors / total) if total else 0.0
+        if rate > policy.threshold:
+            return total, errors, rate, OPEN
+        return total, errors, rate, {OPEN: OPEN if bad else HALF_OPEN, HALF_OPEN: CLOSED, CLOSED: CLOSED}[before]
+
     def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, errors, status = state.get if state.exists else (policy.base_total, policy.base_errors, CLOSED)
+        total, errors, status, open_id, n, bad = state.get if state.exists else (policy.base_total, policy.base_errors, CLOSED, None, 0, 0)
         sums: dict[int, list[int]] = {}
         for chunk in chunks:
-            for batch_id, n, bad in zip(chunk["batch_id"], chunk["total"], chunk["errors"]):
-                seen = sums.setdefault(int(batch_id), [0, 0])
-                seen[0] += int(n)
-                seen[1] += int(bad)
+            for batch_id, more, wrong in zip(chunk["batch_id"], chunk["total"], chunk["errors"]):
+                seen = sums.setdefault(int(batch_id) if open_id is None else max(int(batch_id), open_id), [0, 0])
+                seen[0] += int(more)
+                seen[1] += int(wrong)
         out = []
         for batch_id in sorted(sums):
-            n, bad = sums[batch_id]
-            total, errors, before = total + n, errors + bad, status
-            rate = _half_up(100.0 * errors / total) if total else 0.0
-            if rate > policy.threshold:
-                status = OPEN
-            else:
-                status = {OPEN: OPEN if bad else HALF_OPEN, HALF_OPEN: CLOSED, CLOSED: CLOSED}[before]
-            table = policy.dlq_table if status == OPEN else policy.main_table
-            out.append((key[0], batch_id, n, bad, total, errors, rate, status, before, table))
-        state.update((total, errors, status))
+            if open_id is not None and batch_id > open_id:
+                total, errors, _, status = judged(total, errors, status, n, bad)
+                n = bad = 0
+            open_id, n, bad = batch_id, n + sums[batch_id][0], bad + sums[batch_id][1]
+            all_events, all_errors, rate, now = judged(total, errors, status, n, bad)
+            out.append((key[0], batch_id, n, bad, all_events, all_errors, rate, now, status, policy.dlq_table if now == OPEN else policy.main_table))
+        state.update((total, errors, status, open_id, n, bad))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVALUATION.split(", ")])
 
     return counted.groupBy("node").applyInPandasWithState(advance, EVALUATION, STATE, "update", GroupStateTimeout.NoTimeout)
@@ -116,6 +124,11 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "update") -> DataFra
     return spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
+def latest(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the newest micro-batch for each key, from what ``run_to_table`` reads back."""
+    return first_match(parts.withColumn("_newest", -F.col("epoch")), keys, ["_newest"]).drop("_newest", "epoch")
+
+
 def route_stream(events: DataFrame, decide: Callable[[DataFrame], DataFrame], folder: str, policy: BreakerPolicy = BreakerPolicy()):
     """Write every event of a stream to the main or the dead-letter folder.
 

@@ -75,12 +75,14 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     rows = [(i, f"n{rnd.randrange(4)}", day, rnd.random() < (0.4 if day in (2, 5) else 0.01)) for day in range(8) for i in range(150)]
     schema = "id long, node string, day long, bad boolean"
     df = spark.createDataFrame(rows, schema)
-    for day in range(8):  # one file per day, in order
-        df.filter(F.col("day") == day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in range(16):  # two files per day, in order: no batch arrives whole
+        df.filter((F.col("day") == part // 2) & (F.col("id") % 2 == part % 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     policy = BreakerPolicy(threshold=8.0, base_total=10, base_errors=0)
     stream = live.read_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
     evaluated = live.evaluate_batch_stream(stream, F.col("node"), F.col("day"), F.col("bad"), policy)
-    got = live.run_to_table(evaluated, "test").select("node", "batch_id", "error_rate", "state")
+    parts = live.run_to_table(evaluated, "test")
+    assert parts.count() > parts.select("node", "batch_id").distinct().count()
+    got = live.latest(parts, ["node", "batch_id"]).select("node", "batch_id", "error_rate", "state")
     counts = breaker.batch_counts(df, "node", "day", F.col("bad"))
     want = breaker.breaker_states(counts, policy).select("node", "batch_id", "error_rate", "state")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -92,7 +94,7 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     def keep(changes, epoch):
         seen.extend((r["node"], r["batch_id"], r["state"]) for r in changes.collect())
 
-    stream = live.read_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=4)
+    stream = live.read_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=8)
     evaluated = live.evaluate_batch_stream(stream, F.col("node"), F.col("day"), F.col("bad"), policy)
     live.state_change_feed(evaluated, [broken, keep], str(tmp_path / "log")).awaitTermination()
     changes = breaker.state_changes(breaker.breaker_states(counts, policy)).select("node", "batch_id", "state").collect()
