@@ -114,12 +114,19 @@ def p_value(model: ToxicModel, n_words: int, scores: list[float]) -> float:
 
 
 def _poisson_tail(r: int, mean: float) -> float:
-    """The chance of r or more events; summed from r on, so that small values stay exact."""
+    """The chance of r or more events: from r on if fewer are expected, so that small values stay exact, else 1 less the terms below r."""
     if mean <= 0:
         return 0.0
-    term = math.exp(r * math.log(mean) - mean - math.lgamma(r + 1))
-    total, k = term, r
-    while k < r + 200 and term > total * 1e-16:
+    k = r - 1 if mean >= r else r
+    term = math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+    total = term
+    if mean >= r:
+        while k > 0 and term > total * 1e-16:
+            term *= k / mean
+            total += term
+            k -= 1
+        return max(0.0, 1.0 - total)
+    while term > total * 1e-16:
         k += 1
         term *= mean / k
         total += term

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -306,6 +307,22 @@ def test_poisson_tail():
     assert toxicity._poisson_tail(3, 0.0) == 0.0
 
 
+def test_poisson_tail_of_large_means():
+    assert abs(toxicity._poisson_tail(2, 300) - 1) < 1e-12 and abs(toxicity._poisson_tail(5, 1000) - 1) < 1e-12
+    for mean in (0.5, 7.0, 219.5, 250.0, 700.0, 3000.0):
+        chance = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(int(3 * mean) + 60)]
+        for r in (2, 5, int(mean) + 1, int(mean) + 2, int(1.2 * mean) + 3):
+            assert math.isclose(toxicity._poisson_tail(r, mean), math.fsum(chance[r:]), rel_tol=1e-8, abs_tol=1e-11)
+
+
+def test_long_clean_text_with_two_weak_words():
+    model = toxicity.ToxicModel({"vile$": 3.0, "scummy$": 3.0}, 1.7, 0.57, 0.2)
+    words = ["plain"] * 300_000
+    words[1000], words[200_000] = "vile", "scummy"
+    found = toxicity.score_text(model, " ".join(words))
+    assert len(found["passages"]) == 2 and found["p_value"] > 0.99 and found["score"] < 0.21
+
+
 # HTML text
 
 
