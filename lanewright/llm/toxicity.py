@@ -104,12 +104,15 @@ def maximal_passages(hits: list[tuple[int, float]], gap: float = GAP) -> list[tu
 
 
 def p_value(model: ToxicModel, n_words: int, scores: list[float]) -> float:
-    """The smallest, over r, chance that a clean text of this length has r passages as good as its r best."""
+    """The smallest, over every r, chance that a clean text of this length has r passages as good as its r best."""
     best = 1.0
-    for r, score in enumerate(sorted(scores, reverse=True)[:20], 1):
+    for r, score in enumerate(sorted(scores, reverse=True), 1):
         mean = model.scale * n_words * math.exp(-model.decay * score)
-        tail = -math.expm1(-mean) if r == 1 else _poisson_tail(r, mean)
-        best = min(best, tail)
+        if r == 1:
+            best = -math.expm1(-mean)
+        # A tail is never under its first term, nor under a half if r or more are expected, so no smaller chance is passed over.
+        elif best > 0.5 if mean >= r else mean > 0 and math.exp(r * math.log(mean) - mean - math.lgamma(r + 1)) < best:
+            best = min(best, _poisson_tail(r, mean))
     return max(best, 1e-300)
 
 

@@ -323,6 +323,22 @@ def test_long_clean_text_with_two_weak_words():
     assert len(found["passages"]) == 2 and found["p_value"] > 0.99 and found["score"] < 0.21
 
 
+def test_many_weak_passages_are_significant_together():
+    n, many = 20_143, 120  # about 70 such passages are expected in a clean text
+    model = toxicity.ToxicModel({f"bad{i}$": 3.0 for i in range(many)}, 1.7, 0.57, 0.2)
+    words = ["plain"] * n
+    for i in range(many):
+        words[100 + 160 * i] = f"bad{i}"
+    found = toxicity.score_text(model, " ".join(words))
+    assert len(found["passages"]) == many and found["p_value"] < 1e-6 and found["score"] > 0.99
+    rng = random.Random(3)
+    scores = [rng.uniform(1, 6) for _ in range(300)]
+    for size in (200, 5_000, 60_000):
+        means = [model.scale * size * math.exp(-model.decay * s) for s in sorted(scores, reverse=True)]
+        want = min(-math.expm1(-m) if r == 1 else toxicity._poisson_tail(r, m) for r, m in enumerate(means, 1))
+        assert toxicity.p_value(model, size, scores) == max(want, 1e-300)
+
+
 # HTML text
 
 
