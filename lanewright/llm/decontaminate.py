@@ -4,9 +4,12 @@ Words are lower-cased runs of letters and digits.  A seed is the hash of the wor
 between them are ignored, so a word that was replaced there does not hide the match.  Seeds of the texts are joined to those of the
 benchmark.  Each hit names an item and a diagonal (place in the text minus place in the item), and the overlap on it is verified word
 by word: a text is contaminated if ``SPAN`` aligned words in a row, or all words of a shorter item, match with at most one in ``ONE_IN``
-replaced.  The first mask alone is hit by every stretch of 13 words with two replaced ones, wherever they are.
+replaced.  The first mask alone is hit by every stretch of 13 words with two replaced ones, wherever they are.  The two masks miss replaced
+words in items of under ``MASKED`` words, so those are posted under runs of adjacent words instead: the whole item if no word of it may be
+replaced, else its two halves, one of which a single replaced word leaves alone.  Texts are searched only with the masks that the benchmark has
+posted, so short items cost nothing where there are none.
 
-Items of fewer words than a mask spans are never found; items with equal words count as one, the smallest id.  Null and empty texts
+Items of any length are found; an item of one word contaminates every text that has the word.  Items with equal words count as one, the smallest id.  Null and empty texts
 and items hit nothing.  Rows are judged one by one, also when an id repeats or is null.  An empty benchmark contaminates nothing.
 
 The seeds of the benchmark are sent to all tasks only after they have been counted and found to be at most
@@ -25,7 +28,12 @@ from lanewright.session import materialize
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 13
 ONE_IN = 6
+#: Fewest words of an item that the check SQL, which knows only ``MASKS``, looks at.
 SHORTEST = 8
+#: Fewest words of an item that ``MASKS`` find wherever words are replaced; shorter ones are posted under ``RUNS``.
+MASKED = 10
+RUNS = tuple(tuple(range(n)) for n in range(1, MASKED // 2 + 1))
+EVERY = dict(enumerate(MASKS + RUNS))
 MOST_SENT = 500_000
 
 
@@ -33,22 +41,32 @@ def word_array(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, keep: list[str], words: str = "_words", masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
-    """``keep``, ``_at`` (place) and ``_seed`` of every place and mask."""
-    reach = max(mask[-1] for mask in masks) + 1
+def seeds(rows: DataFrame, keep: list[str], words: str = "_words", masks: dict[int, tuple[int, ...]] = EVERY) -> DataFrame:
+    """``keep``, ``_at`` (place), ``_mask`` and ``_seed`` of every place and mask."""
+    reach = max(mask[-1] for mask in masks.values()) + 1
     size = F.size(words)
     shifted = [F.slice(words, F.lit(i + 1), F.greatest(size - i, F.lit(0))).alias(f"w{i}") for i in range(reach)]
     placed = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("_at", "_w"))
     made = [
-        F.when(F.col(f"_w.w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"_w.w{o}") for o in mask])) for i, mask in enumerate(masks)
+        F.struct(F.lit(i).alias("_mask"), F.when(F.col(f"_w.w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"_w.w{o}") for o in mask])).alias("_seed"))
+        for i, mask in masks.items()
     ]
-    return placed.select(*keep, "_at", F.explode(F.array(*made)).alias("_seed")).filter("_seed is not null")
+    return placed.select(*keep, "_at", F.explode(F.array(*made)).alias("_s")).select(*keep, "_at", "_s.*").filter("_seed is not null")
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``_item``, ``_item_at``, ``_mask`` and ``_seed``: all places under ``MASKS``, or the run or the two halves of a short item."""
+    n, run = F.size("_item_words"), F.col("_mask") - len(MASKS) + 1
+    halves = (F.col("_at") == 0) & (run == F.floor(n / 2)) | (F.col("_at") == F.floor(n / 2)) & (run == n - F.floor(n / 2))
+    posted = F.when(n >= MASKED, run < 1).when(n >= ONE_IN, halves).otherwise(run == n)
+    made = seeds(items, ["_item", "_item_words"], "_item_words")
+    return made.filter(posted).select("_item", F.col("_at").alias("_item_at"), "_mask", "_seed")
 
 
 def benchmark_items(benchmark: DataFrame, item_column: str = "item_id", text: str = "text") -> DataFrame:
-    """``_item`` and ``_item_words`` of the different items that are long enough."""
+    """``_item`` and ``_item_words`` of the different items that have words."""
     items = benchmark.select(F.col(f"`{item_column}`").alias("_item"), word_array(text_of(text)).alias("_item_words"))
-    return items.filter(F.size("_item_words") >= SHORTEST).groupBy("_item_words").agg(F.min("_item").alias("_item"))
+    return items.filter(F.size("_item_words") > 0).groupBy("_item_words").agg(F.min("_item").alias("_item"))
 
 
 def _best_stretch(words: Column, hit: Column) -> Column:
@@ -72,10 +90,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], id_column:
     """Every row of ``docs``: ``keep`` and ``_items``, the sorted ids of the benchmark items that it overlaps."""
     rows = docs.select(F.struct(*keep).alias("_kept"), F.col(f"`{id_column}`").alias("_id"), text_of(text).alias("_text"))
     items = materialize(benchmark_items(benchmark), "items")
-    posted = materialize(seeds(items, ["_item"], "_item_words").withColumnRenamed("_at", "_item_at"), "seeds")
+    posted = materialize(item_seeds(items), "seeds")
     searched = F.broadcast(posted) if posted.count() <= MOST_SENT else posted
+    used = {r["_mask"]: EVERY[r["_mask"]] for r in posted.select("_mask").distinct().collect()} or EVERY  # one row per mask
 
-    found = seeds(rows.select("_id", word_array(F.col("_text")).alias("_words")), ["_id"]).join(searched, "_seed")
+    found = seeds(rows.select("_id", word_array(F.col("_text")).alias("_words")), ["_id"], masks=used).join(searched, ["_mask", "_seed"])
     hits = found.select("_id", "_item", (F.col("_at") - F.col("_item_at")).alias("diagonal")).distinct()
     hits = hits.join(items, "_item").groupBy("_id").agg(
         F.collect_list(F.struct(F.col("_item").alias("item"), "diagonal", F.col("_item_words").alias("words"))).alias("_hits")

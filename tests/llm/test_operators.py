@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -441,3 +442,43 @@ def test_decontamination(spark):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect()) == [-1, *[i for i, x in enumerate(want) if not x]]
     assert decontaminate.drop_leaks(docs, benchmark.limit(0)).count() == docs.count()
     assert decontaminate.find_leaks(empty(spark), benchmark).count() == 0
+
+
+def test_masks_cover_every_allowed_replacement():
+    for n in range(1, 14):
+        for r in range(n // decontaminate.ONE_IN + 1):
+            for gone in itertools.combinations(range(n), r):
+                if n >= decontaminate.MASKED:
+                    posted = [[at + o for o in mask] for mask in decontaminate.MASKS for at in range(n - mask[-1])]
+                else:
+                    posted = [range(n)] if n < decontaminate.ONE_IN else [range(n // 2), range(n // 2, n)]
+                assert any(not set(gone) & set(places) for places in posted), (n, gone)
+
+
+def short_leaks(texts, items):
+    """Items of any length, by the stated rule."""
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = []
+    for text in texts:
+        w, found = tokens(text), set()
+        for i, item in items:
+            b = tokens(item)
+            span = min(13, len(b))
+            for d in range(len(w) - len(b) + 1) if 0 < len(b) < 13 else ():
+                if span - sum(x == y for x, y in zip(b, w[d:])) <= span // 6:
+                    found.add(i)
+        out.append(sorted(found))
+    return out
+
+
+def test_decontamination_of_short_items(spark):
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(1, 13)]
+    texts = ["", None, prose(200)]
+    for n, item in items:
+        texts += [item, f"{prose(5)} {item} {prose(5)}", item.rsplit(" ", 1)[0] + " other"]
+        for gone in [*itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            texts.append(f"{prose(3)} {' '.join('other' if k in gone else w for k, w in enumerate(item.split()))} {prose(3)}")
+    rows = decontaminate.find_leaks(table(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = short_leaks(texts, items)
+    assert {r["doc_id"]: r["items"] for r in rows} == dict(enumerate(want))
+    assert {i for x in want for i in x} == set(range(1, 13))
