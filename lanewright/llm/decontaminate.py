@@ -9,8 +9,9 @@ words in items of under ``MASKED`` words, so those are posted under runs of adja
 replaced, else its two halves, one of which a single replaced word leaves alone.  Texts are searched only with the masks that the benchmark has
 posted, so short items cost nothing where there are none.
 
-Items of any length are found; an item of one word contaminates every text that has the word.  Items with equal words count as one, the smallest id.  Null and empty texts
-and items hit nothing.  Rows are judged one by one, also when an id repeats or is null.  An empty benchmark contaminates nothing.
+Items of any length are found; an item of one word contaminates every text that has the word.  Items with equal words count as one, the smallest id.
+Items are told apart by their words, so an item without an id contaminates too, and is listed as one null after the other ids.  Null and
+empty texts and items hit nothing.  Rows are judged one by one, also when an id repeats or is null.  An empty benchmark contaminates nothing.
 
 The seeds of the benchmark are sent to all tasks only after they have been counted and found to be at most
 ``MOST_SENT``; a larger benchmark is joined by shuffling, with the same result.  Hits are reduced to distinct diagonals before they travel.
@@ -64,9 +65,10 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame, item_column: str = "item_id", text: str = "text") -> DataFrame:
-    """``_item`` and ``_item_words`` of the different items that have words."""
-    items = benchmark.select(F.col(f"`{item_column}`").alias("_item"), word_array(text_of(text)).alias("_item_words"))
-    return items.filter(F.size("_item_words") > 0).groupBy("_item_words").agg(F.min("_item").alias("_item"))
+    """``_item`` (a number, stable once written), ``_item_id`` and ``_item_words`` of the different items that have words."""
+    items = benchmark.select(F.col(f"`{item_column}`").alias("_item_id"), word_array(text_of(text)).alias("_item_words"))
+    items = items.filter(F.size("_item_words") > 0).groupBy("_item_words").agg(F.min("_item_id").alias("_item_id"))
+    return items.withColumn("_item", F.monotonically_increasing_id())
 
 
 def _best_stretch(words: Column, hit: Column) -> Column:
@@ -97,7 +99,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], id_column:
     found = seeds(rows.select("_id", word_array(F.col("_text")).alias("_words")), ["_id"], masks=used).join(searched, ["_mask", "_seed"])
     hits = found.select("_id", "_item", (F.col("_at") - F.col("_item_at")).alias("diagonal")).distinct()
     hits = hits.join(items, "_item").groupBy("_id").agg(
-        F.collect_list(F.struct(F.col("_item").alias("item"), "diagonal", F.col("_item_words").alias("words"))).alias("_hits")
+        F.collect_list(F.struct(F.col("_item_id").alias("item"), "diagonal", F.col("_item_words").alias("words"))).alias("_hits")
     )
     hits = materialize(hits.withColumnRenamed("_id", "_hit_id"), "hits")
     # The hits are the hinted side: the texts are streamed past them, neither sorted nor sent to all tasks.
@@ -109,7 +111,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], id_column:
         return span - _best_stretch(F.col("_words"), hit) <= F.floor(span / ONE_IN)
 
     matched = F.array_sort(F.array_distinct(F.transform(F.filter("_hits", leaks), lambda hit: hit["item"])))
-    none = F.slice(F.array(F.lit(None).cast(items.schema["_item"].dataType)), 1, 0)
+    none = F.slice(F.array(F.lit(None).cast(items.schema["_item_id"].dataType)), 1, 0)
     return words.select("_kept.*", F.coalesce(matched, none).alias("_items"))
 
 

@@ -482,3 +482,13 @@ def test_decontamination_of_short_items(spark):
     want = short_leaks(texts, items)
     assert {r["doc_id"]: r["items"] for r in rows} == dict(enumerate(want))
     assert {i for x in want for i in x} == set(range(1, 13))
+
+
+def test_decontamination_with_items_without_id(spark):
+    rng = random.Random(6)
+    items = [(None, prose(20, rng)), (None, prose(20, rng)), (5, prose(20, rng))]
+    texts = [items[0][1], f"{items[1][1]} and {items[0][1]}", f"{items[2][1]} and {items[1][1]}", prose(60, rng)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.find_leaks(table(spark, texts), benchmark).collect()}
+    assert {i: (r["leaked"], r["items"]) for i, r in rows.items()} == {0: (True, [None]), 1: (True, [None]), 2: (True, [5, None]), 3: (False, [])}
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(table(spark, texts), benchmark).collect()] == [3]
