@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanewright.session import materialize
+
 #: Rows in one Arrow batch.  Documents can be long, so batches are kept short.
 BATCH_ROWS = 256
 ROW = "_row"
@@ -36,6 +38,12 @@ def keyed(df: DataFrame, keys: list[str], **columns: Column) -> tuple[DataFrame,
     return picked, safe
 
 
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``_place``, a number of the row, and ``_doc``, a struct of the columns; written once, so that the numbers stay the same."""
+    picked = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)]).alias("_doc")
+    return materialize(df.select(picked).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+
+
 def with_arrow_column(
     df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, convert: Callable[[], Callable[[list], list]]
 ) -> DataFrame:

@@ -14,8 +14,8 @@ shingle hashes).  A cluster that is too large for a task is cut into blocks, and
 and no task holds more than two blocks.  A task returns a spanning forest of its links, which has the same components as all links.
 
 Words are runs of other bytes than space and 0x09-0x0D, A-Z lower-cased.  Null and empty texts have no set and are linked with nothing.
-A row with a null id has a null component and stays.  Rows that repeat an id are each judged by their own text, and go
-or stay together when duplicates are dropped.  Only the named columns are read; ``drop_near_duplicates`` gives back all columns of the rows that stay.
+Rows are numbered once, and linked, judged and dropped by that number: an id may repeat.  A component is named by its smallest id, null if it has none.
+Of each component the first row with that id stays, and the first of its rows without an id if it has such rows.  Only the named columns are read; ``drop_near_duplicates`` gives back all columns of the rows that stay.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import short_batches, text_of
+from lanewright.llm.common import numbered, short_batches, text_of
 from lanewright.llm.graph import components
 from lanewright.session import materialize
 
@@ -123,23 +123,21 @@ def least_matches(similarity: float, chance: float = 1e-6) -> int:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, keys, signs = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             shingles = shingle_set(text)
             n.append(len(shingles))
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             signs.append(signature(shingles) if len(shingles) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))], names=["id", "n", "key", "sign"]
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))],
+            names=["id", "doc", "n", "key", "sign"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "key", "shingles"]
-        )
+        sets = [shingle_set(text).tobytes() for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
 def cluster_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int, least: int) -> list[tuple[int, int]]:
@@ -208,14 +206,17 @@ def _link_task(percent: int, least: int):
     return run
 
 
-def near_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``id_column``, ``n_shingles`` and ``component_id``, the smallest id reachable by links of ``percent`` or more."""
-    short_batches(docs.sparkSession)
+def _judged(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFrame:
+    """Per row of ``numbered``: ``id`` (the number of the row), ``doc`` (its id), ``n``, ``component`` and ``kept``."""
     least = least_matches(percent / 100)
-    rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), text_of(text).alias("_text"))
-    signed = materialize(rows.mapInArrow(_signatures, "id bigint, n bigint, key binary, sign array<int>"), "signatures")
+    rows = docs.select(F.col("_place").alias("id"), F.col(f"_doc.`{id_column}`").cast("bigint").alias("doc"), text_of(f"_doc.`{text}`").alias("_text"))
+    signed = materialize(rows.mapInArrow(_signatures, "id bigint, doc bigint, n bigint, key binary, sign array<int>"), "signatures")
 
-    classes = signed.filter("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.max("n").alias("n"))
+    named = F.when(F.col("doc").isNotNull(), F.struct("doc", "id"))
+    classes = signed.filter("key is not null").groupBy("key").agg(
+        F.min("id").alias("rep"), F.first("sign").alias("sign"), F.max("n").alias("n"), F.min(named).alias("named"),
+        F.min(F.when(F.col("doc").isNull(), F.col("id"))).alias("unnamed"),
+    )
     classes = materialize(classes, "classes")
     posts = classes.select("rep", F.posexplode("sign").alias("at", "value")).select("rep", F.xxhash64("at", "value").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
@@ -233,22 +234,38 @@ def near_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     cut = member.groupBy("cluster").agg(blocks.cast("int").alias("blocks"))
     member = member.join(cut, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     member = materialize(member, "members")
-    chosen = rows.join(member.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets, "id bigint, key binary, shingles binary")
-    # An id that repeats with another text gives another key; the same text twice gives the same set.
-    chosen = chosen.join(member.withColumnRenamed("rep", "id").hint("shuffle_hash"), ["id", "key"])
+    chosen = rows.select("id", "_text").join(member.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary")
+    chosen = chosen.join(member.withColumnRenamed("rep", "id").hint("shuffle_hash"), "id")
     tasks = chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "shingles"
     )
     links = tasks.groupBy("cluster", "i", "j").applyInPandas(_link_task(percent, least), "a bigint, b bigint")
     joined = components(materialize(links, "links"))
 
-    placed = classes.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("_root"))
-    whole = signed.join(placed, "key", "left").select("id", "n", F.coalesce("_root", "id").alias("_root"))
-    return whole.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("_root").alias("component_id"))
+    # Only classes that are linked meet the others of their component; all others are components of their own.
+    linked = classes.select("rep", "named", "unnamed").join(joined, F.col("rep") == F.col("node"))
+    whole = linked.groupBy("root").agg(F.min("named").alias("first"), F.min("unnamed").alias("first_unnamed"))
+    stays = linked.select("rep", "root").join(whole, "root").select(F.col("rep").alias("node"), "first", "first_unnamed")
+    placed = classes.join(stays, F.col("rep") == F.col("node"), "left").select(
+        "key", F.when(F.col("node").isNull(), F.col("named")).otherwise(F.col("first")).alias("first"),
+        F.when(F.col("node").isNull(), F.col("unnamed")).otherwise(F.col("first_unnamed")).alias("first_unnamed"),
+    )
+    alone = F.col("key").isNull()
+    kept = alone | F.coalesce(F.col("id") == F.col("first.id"), F.lit(False)) | F.coalesce(F.col("id") == F.col("first_unnamed"), F.lit(False))
+    component = F.when(alone, F.col("doc")).otherwise(F.col("first.doc"))
+    return signed.join(placed, "key", "left").select("id", "doc", "n", component.alias("component"), kept.alias("kept"))
+
+
+def near_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``id_column``, ``n_shingles``, ``component_id``, the smallest id reachable by links of ``percent`` or more, and ``kept``."""
+    short_batches(docs.sparkSession)
+    judged = _judged(numbered(docs, [id_column, text]), percent, id_column, text)
+    return judged.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, and rows with a null id."""
-    found = near_components(docs, percent, id_column, text).filter(f"component_id <> `{id_column}`")
-    gone = materialize(found.select(F.col(id_column).alias("_gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_column}`") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that ``near_components`` keeps, with all their columns."""
+    short_batches(docs.sparkSession)
+    rows = numbered(docs, docs.columns)
+    gone = materialize(_judged(rows, percent, id_column, text).filter("not kept").select(F.col("id").alias("_gone")), "gone")
+    return rows.join(gone.hint("shuffle_hash"), F.col("_place") == F.col("_gone"), "left_anti").select("_doc.*")

@@ -96,7 +96,7 @@ from w left join s using (doc_id) left join c on s.shingles = c.shingles left jo
 
 @query("op5_near_dedup", NEAR_SQL)
 def op5(spark, table):
-    return near_dedup.near_components(table("documents"), 85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_dedup.near_components(table("documents"), 85)
 
 
 REPEAT_SQL = """

@@ -195,6 +195,25 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == set(want) | {None}
 
 
+def test_near_duplicates_under_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    bases = [prose(100, rng) for _ in range(4)]
+    near = lambda i, n: f"{bases[i]} {n}"
+    pairs = [
+        (3, near(0, "a")), (7, near(0, "b")), (7, prose(100, rng)),  # the second row of id 7 is a text of its own
+        (None, near(1, "a")), (None, near(1, "b")), (None, near(1, "c")), (None, prose(100, rng)), (None, None), (None, ""),
+        (9, near(2, "a")), (9, near(2, "b")), (11, near(2, "c")), (5, near(3, "a")), (5, near(3, "a")),
+    ]
+    docs = spark.createDataFrame([(i, t, str(n), "b", "c", "d", 1) for n, (i, t) in enumerate(pairs)], SCHEMA).coalesce(1)
+    assert sorted(int(r["ids"]) for r in near_dedup.drop_near_duplicates(docs).collect()) == [0, 2, 3, 6, 7, 8, 9, 12]
+    rows = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_components(docs).filter("n_shingles > 0").collect()]
+    null_first = lambda x: tuple((v is not None, v or 0) for v in x)
+    assert sorted(rows, key=null_first) == sorted([
+        (3, 3, True), (7, 3, False), (7, 7, True), (None, None, True), (None, None, False), (None, None, False), (None, None, True),
+        (9, 9, True), (9, 9, False), (11, 9, False), (5, 5, True), (5, 5, False),
+    ], key=null_first)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_components(empty(spark)).count() == 0
     assert near_dedup.drop_near_duplicates(empty(spark)).count() == 0
