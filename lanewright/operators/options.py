@@ -452,13 +452,18 @@ def recommend_chosen(with_choice: DataFrame, status: Column) -> DataFrame:
     return with_choice.select(*_recommendation(*_chosen_terms(status)))
 
 
-def recommend_each(with_opts: DataFrame, budget: float = P.DEFAULT_BUDGET_USD, carbon: float = P.DEFAULT_CARBON_KG) -> DataFrame:
-    """Every shipment on its own, as in the one-at-a-time path: no shipment takes capacity from another.
+def recommend_each(
+    with_opts: DataFrame, budget: float = P.DEFAULT_BUDGET_USD, carbon: float = P.DEFAULT_CARBON_KG, capacities: DataFrame | None = None
+) -> DataFrame:
+    """Every shipment on its own, as in the one-at-a-time path: no shipment takes capacity from another, but none takes more than there is.
 
     One pass for all tiers, so the options are joined and priced once.
     """
+    from lanewright.operators.joint import fitting_offers
+
     full = F.col("tier") == P.TIER_FULL
     rows = _with_cheapest(effective_offers(tiered(with_opts)))
+    rows = rows if capacities is None else fitting_offers(rows, capacities)
     allowed = F.filter("offers", lambda o: (o["cost_usd"] <= budget) & (o["emission_kg"] <= carbon))
     rows = rows.withColumn("choice", F.when(full, F.array_min(allowed))).withColumn("baseline", delay_launch_cost())
     terms = zip(_chosen_terms(F.lit("Optimal")), _simple_terms())

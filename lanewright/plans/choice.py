@@ -166,7 +166,7 @@ recs as (
 
 
 def each(t):
-    return options.recommend_each(optioned(t))
+    return options.recommend_each(optioned(t), capacities=_enforced(t))
 
 
 @query("recommend", f"with {RECS_CTE} select * from recs")

@@ -79,6 +79,20 @@ def test_recommendations_by_tier(spark, refs):
     assert got["S2"]["recommended_action"] == "Delay_Launch" and got["S2"]["optimization_status"] == "Optimal"
 
 
+def test_one_shipment_takes_no_more_than_there_is(spark, refs):
+    high = {"delay_probability": 0.9, "purchase_order_value": 1e9}
+    made = options.with_options(ship(spark, high, high), refs)
+    offers = {r["shipment_id"]: sorted(r["offers"], key=lambda o: (o["effective_cost"], o["option_pos"])) for r in options.effective_offers(made).collect()}
+    free = {r["shipment_id"]: r["recommended_action"] for r in options.recommend_each(made).collect()}
+    best, second = offers["S0"][0], offers["S0"][1]
+    assert free["S0"] == best["option_name"] and best["resource"] is not None
+    kind, key = best["resource"].split(":", 1)
+    for capacity, want in ((best["units"], best), (best["units"] - 0.5, second)):
+        caps = spark.createDataFrame([(kind, key, capacity)], "resource_type string, resource_key string, capacity double")
+        got = {r["shipment_id"]: r["recommended_action"] for r in options.recommend_each(made, 1e12, 1e12, caps).collect()}
+        assert got["S0"] == want["option_name"]
+
+
 def _fake(spark, n, seed):
     """Shipments with random offers on one shared mode, a few stock pools and the free fallback."""
     rnd = random.Random(seed)
