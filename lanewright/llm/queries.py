@@ -8,7 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import byte_bpe, decontaminate, html_text, near_dedup, preferences, radix_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from lanewright.llm import (
+    byte_bpe, decontaminate, fingerprints, html_text, near_dedup, preferences, prefix_trie, radix_dedup, structure_repair, suffix_dedup, talks, token_counts, toxicity,
+    url_filter,
+)
+from lanewright.llm.talk_sql import REPAIR_SQL, TRIE_SQL
+from lanewright.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -244,3 +249,19 @@ select doc_id, l.doc_id is not null as leaked, coalesce(n_items, 0) as n_items,
 def op10(spark, table):
     found = decontaminate.find_leaks(table("documents"), table("benchmark"))
     return found.select("doc_id", "leaked", F.size("items").cast("bigint").alias("n_items"), F.array_min("items").alias("first_item"))
+
+
+@query("op11_structure_repair", REPAIR_SQL)
+def op11(spark, table):
+    return structure_repair.repair(talks.damaged(table("conversations"))).withColumnRenamed("_conv", "conv_id")
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, table):
+    turns = materialize(talks.numbered_turns(table("conversations")), "turns")
+    return prefix_trie.trie(talks.rebuilt(turns), turns.select("_conv").distinct())
+
+
+@query("op13_fingerprints")
+def op13(spark, table):
+    return fingerprints.edited_fingerprints(table("documents"))
