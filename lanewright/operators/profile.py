@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from lanewright.functions.numbers import flag, rnd_total
 from lanewright.operators.quantiles import exact_quantiles
 from lanewright.policy import COLUMN_MEANING, IQR_SPAN
+from lanewright.session import materialize
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -82,6 +83,7 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: type, missing, distinct, and for numbers moments, median, outliers, negatives."""
+    df = materialize(df, "profiled")  # read by every pass below; a view of joins would be worked out anew each time
     numeric = numeric_columns(df)
     columns = df.columns
     medians = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])

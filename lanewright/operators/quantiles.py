@@ -83,22 +83,29 @@ def _narrow(numeric: DataFrame, targets: dict, window_rows: int) -> None:
         wide = [k for k, t in targets.items() if t["inside"] > window_rows and t["low"] < t["high"] and not t.get("settled")]
         if not wide:
             return
-        guesses = []
-        for i, (c, p) in enumerate(wide):
+        # Probabilities that still share a bracket share a sketch, which is what a pass costs.
+        spans: dict[tuple, list[float]] = {}
+        place = {}
+        for c, p in wide:
             t = targets[(c, p)]
             middle = (t["first"] - t["below"]) / t["inside"]
-            span = [min(1.0, max(0.0, middle - t["slack"])), min(1.0, max(0.0, middle + t["slack"]))]
-            inside = F.when(_within(c, t["low"], t["high"]), F.col(c))
-            guesses.append(F.percentile_approx(inside, F.array(*map(F.lit, span)), 20_000).alias(f"g{i}"))
-        proposal = numeric.agg(*guesses).first()
+            asked = spans.setdefault((c, t["low"], t["high"]), [])
+            place[(c, p)] = (c, t["low"], t["high"]), len(asked)
+            asked += [min(1.0, max(0.0, middle - t["slack"])), min(1.0, max(0.0, middle + t["slack"]))]
+        guesses = [
+            F.percentile_approx(F.when(_within(*bracket), F.col(bracket[0])), F.array(*map(F.lit, asked)), 20_000).alias(f"g{i}")
+            for i, (bracket, asked) in enumerate(spans.items())
+        ]
+        sketched = dict(zip(spans, numeric.agg(*guesses).first()))
+        proposal = {key: sketched[bracket][at : at + 2] for key, (bracket, at) in place.items()}
         checks = []
-        for i, (c, _) in enumerate(wide):
-            low, high = proposal[f"g{i}"]
+        for i, (c, p) in enumerate(wide):
+            low, high = proposal[(c, p)]
             checks.append(F.count(F.when(F.col(c) < low, 1)).alias(f"b{i}"))
             checks.append(F.count(F.when(_within(c, low, high), 1)).alias(f"n{i}"))
         measured = numeric.agg(*checks).first()
         for i, key in enumerate(wide):
-            t, (low, high) = targets[key], proposal[f"g{i}"]
+            t, (low, high) = targets[key], proposal[key]
             below, inside = measured[f"b{i}"], measured[f"n{i}"]
             if below <= t["first"] and t["last"] < below + inside and inside < t["inside"]:
                 t.update(low=low, high=high, below=below, inside=inside, slack=2e-4)

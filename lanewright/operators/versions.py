@@ -30,17 +30,21 @@ def as_of(changes: DataFrame, key: str, seq: int) -> DataFrame:
 
 
 def snapshot_lineage(manifest: DataFrame) -> DataFrame:
-    """Root and depth of every snapshot.
+    """Root and depth of every snapshot; one whose parent is null or not in the manifest (expired) is a root.
 
     Pointers double each round: after k joins a row looks 2^k parents up, so a
-    chain of a million commits takes twenty joins and not a million.
+    chain of a million commits takes twenty joins and not a million.  Parents that
+    form a cycle have no root and are refused.
     """
-    rows = manifest.select(
+    known = manifest.select(F.col("snapshot_id").alias("_known"), F.lit(True).alias("_there")).distinct()
+    parents = manifest.select("snapshot_id", "parent_snapshot_id").join(known, F.col("parent_snapshot_id") == F.col("_known"), "left")
+    rows = parents.select(
         "snapshot_id",
-        F.coalesce("parent_snapshot_id", "snapshot_id").alias("up"),
-        F.when(F.col("parent_snapshot_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+        F.when(F.col("_there"), F.col("parent_snapshot_id")).otherwise(F.col("snapshot_id")).alias("up"),
+        F.when(F.col("_there"), 1).otherwise(0).cast("bigint").alias("depth"),
     )
-    moved = True
+    rows = materialize(rows, "lineage")
+    most, moved = rows.count(), True
     while moved:
         above = rows.select(F.col("snapshot_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         rows = rows.join(above, "up").select(
@@ -49,6 +53,8 @@ def snapshot_lineage(manifest: DataFrame) -> DataFrame:
         # Each round reads the last one twice; writing it keeps the plan from doubling too.
         rows = materialize(rows, "lineage")
         moved = not rows.filter("_moved").isEmpty()
+        if moved and rows.agg(F.max("depth")).first()[0] > most:
+            raise ValueError("the parents of some snapshots form a cycle")
         rows = rows.drop("_moved")
     return rows.select("snapshot_id", F.col("up").alias("root_snapshot_id"), "depth")
 

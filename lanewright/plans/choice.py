@@ -117,9 +117,10 @@ def cheapest_option(t):
     return options.cheapest_option(optioned(t)).drop("metadata")
 
 
-@query("heuristic_savings", f"""with {OPTIONS_CTE}, {CHEAPEST_SQL}
-select c.shipment_id, c.option_name, {R('b.cost_usd - c.cost_usd', 2)} as savings from cheap c
-join (select shipment_id, cost_usd from opts where option_pos = 6) b on b.shipment_id = c.shipment_id""")
+@query("heuristic_savings", f"""with {OPTIONS_CTE}, one as (
+  select shipment_id, min({{'late': case when expected_delay_days <= 6 then 0 else 1 end, 'cost': cost_usd, 'pos': option_pos, 'name': option_name}}) filter (feasible and cost_usd is not null) as c,
+    max(case when option_pos = 6 then cost_usd end) as b from opts group by shipment_id)
+select shipment_id, c.name as option_name, {R('b - c.cost', 2)} as savings from one where c is not null""")
 def heuristic_savings(t):
     rows = optioned(t)
     picked = rows.select("shipment_id", options.cheapest().alias("o"), options.delay_launch_cost().alias("b"))
@@ -148,8 +149,13 @@ def argmin_option(t):
 
 
 RECS_CTE = f"""{OPTIONS_CTE}, {CHEAPEST_SQL}, {EFFECTIVE_CTE},
-alone as (select * from (select *, row_number() over (partition by shipment_id order by effective_cost, option_pos) as rn from eff
-          where cost_usd <= 500000 and emission_kg <= 250000) x where rn = 1),
+pool as (
+  select 'transport_mode:' || mode as resource, cast(sum(weekly_capacity_kg) as double) as capacity from {{shipping_options}} group by mode
+  union all select 'supplier:' || cast(supplier_id as string), cast(sum(available_capacity_units) as double) from {{supplier_capacity}} group by supplier_id
+  union all select 'inventory:' || warehouse_id || '|' || product_category, cast(sum(usable_safety_stock_units) as double) from {{inventory}} group by warehouse_id, product_category
+  union all select 'production:' || production_id, cast(sum(daily_capacity_units * 3) as double) from {{production_schedule}} where can_expedite group by production_id),
+alone as (select * from (select e.*, row_number() over (partition by shipment_id order by effective_cost, option_pos) as rn from eff e left join pool on pool.resource = e.resource
+          where cost_usd <= 500000 and emission_kg <= 250000 and (pool.capacity is null or e.units <= pool.capacity)) x where rn = 1),
 tiers as (select shipment_id, d, p, {TIER_SQL.replace('delay_probability', 'p')} as tier, {CONFIDENCE_SQL.replace('delay_probability', 'p')} as confidence from terms),
 base as (select shipment_id, cost_usd as b from opts where option_pos = 6),
 recs as (

@@ -197,7 +197,8 @@ def current_snapshot(t):
 
 
 @query("snapshot_lineage", """
-with recursive up as (select snapshot_id, snapshot_id as root_snapshot_id, cast(0 as bigint) as depth from {snapshot_manifest} where parent_snapshot_id is null
+with recursive up as (select snapshot_id, snapshot_id as root_snapshot_id, cast(0 as bigint) as depth from {snapshot_manifest}
+    where parent_snapshot_id is null or parent_snapshot_id not in (select snapshot_id from {snapshot_manifest})
   union all select m.snapshot_id, u.root_snapshot_id, u.depth + 1 from {snapshot_manifest} m join up u on u.snapshot_id = m.parent_snapshot_id)
 select snapshot_id, root_snapshot_id, depth from up""")
 def snapshot_lineage(t):

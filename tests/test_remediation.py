@@ -131,6 +131,14 @@ def test_lineage_and_current(spark):
     assert versions.current_snapshot(manifest.withColumn("is_current", F.lit(False))).first()["snapshot_id"] == "s39"
 
 
+def test_lineage_with_expired_parents_and_cycles(spark):
+    schema = "snapshot_id string, parent_snapshot_id string"
+    made = versions.snapshot_lineage(spark.createDataFrame([("s3", "s2"), ("s2", "s1"), ("r", None), ("q", "r")], schema)).collect()
+    assert {tuple(r) for r in made} == {("s3", "s2", 1), ("s2", "s2", 0), ("r", "r", 0), ("q", "r", 1)}
+    with pytest.raises(ValueError):
+        versions.snapshot_lineage(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None)], schema))
+
+
 def test_last_good_snapshot_is_strictly_earlier(spark):
     manifest = spark.createDataFrame(
         [("a", "warehouses_main_stream", "VALID", "2024-01-01 00:00:00"), ("b", "warehouses_main_stream", "VALID", "2024-01-02 00:00:00"), ("c", "warehouses_dlq_stream", "VALID", "2024-01-02 12:00:00")],
