@@ -18,7 +18,7 @@ POLICY = BreakerPolicy(threshold=25.0, base_total=0, base_errors=0, reset_errors
 NOW = "2024-03-01 00:00:00"
 
 
-def states_sql(resets: bool = False) -> str:
+def states_sql(resets: bool = False, policy: BreakerPolicy = POLICY) -> str:
     epochs = (
         """select c.*, cast((select count(*) from {node_resets} r where r.node = c.node and r.batch_id <= c.batch_id) as bigint) as epoch from {batch_counts} c"""
         if resets
@@ -27,10 +27,10 @@ def states_sql(resets: bool = False) -> str:
     w = "partition by node, epoch order by batch_id"
     return f"""
 ep as ({epochs}),
-run as (select *, sum(total) over ({w}) as tt, sum(errors) over ({w}) as ee from ep),
+run as (select *, sum(total) over ({w}) + {policy.base_total} as tt, sum(errors) over ({w}) + case when epoch = 0 then {policy.base_errors} else {policy.reset_errors} end as ee from ep),
 rate as (select *, {R('100e0 * ee / tt', 2)} as error_rate from run),
-lb as (select *, max(case when error_rate > 25 then batch_id end) over ({w}) as last_bad from rate),
-fz as (select *, min(case when error_rate <= 25 and errors = 0 then batch_id end) over (partition by node, epoch, last_bad order by batch_id) as first_clean from lb),
+lb as (select *, max(case when error_rate > {policy.threshold} then batch_id end) over ({w}) as last_bad from rate),
+fz as (select *, min(case when error_rate <= {policy.threshold} and errors = 0 then batch_id end) over (partition by node, epoch, last_bad order by batch_id) as first_clean from lb),
 states as (select node, batch_id, total, errors, last_ts, epoch, cast(tt as bigint) as total_events, cast(ee as bigint) as error_events, error_rate,
   case when last_bad is null then 'CLOSED' when first_clean is null then 'OPEN' when batch_id = first_clean then 'HALF_OPEN' else 'CLOSED' end as state from fz)"""
 
@@ -145,10 +145,21 @@ def _event_stream(t):
     return live.read_stream(t.spark, t.sf_dir, SCHEMAS["events"], "events.parquet")
 
 
+LATE = "2 days"
+
+
+def event_columns():
+    """Node, batch (the day), error flag and end of the batch of an event."""
+    node, day = F.concat(F.lit("node-"), F.col("user_id").cast("string")), F.year("ts") * 10000 + F.month("ts") * 100 + F.day("ts")
+    return node, day, F.col("event_type") == "error", F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("interval 1 day")
+
+
 def _evaluations(t):
-    day = F.year("ts") * 10000 + F.month("ts") * 100 + F.day("ts")
-    node = F.concat(F.lit("node-"), F.col("user_id").cast("string"))
-    return live.evaluate_batch_stream(_event_stream(t), node, day, F.col("event_type") == "error", POLICY)
+    return live.evaluate_batch_stream(_event_stream(t), *event_columns()[:3], POLICY)
+
+
+def _timed(t):
+    return live.timed_counts(_event_stream(t), *event_columns())
 
 
 @query("stream_source", "select event_id, event_type, value from events")
@@ -160,7 +171,30 @@ def stream_source(t):
 select node, batch_id, total, errors, total_events, error_events, error_rate, state, coalesce(lag(state) over (partition by node order by batch_id), 'CLOSED') as previous_state,
   case state when 'OPEN' then 'warehouses_dlq_stream' else 'warehouses_main_stream' end as destination from states""")
 def evaluate_batch_stream(t):
-    return live.latest(live.run_to_table(_evaluations(t), "breaker"), ["node", "batch_id"])
+    evaluated = live.evaluate_timed_stream(_timed(t), LATE, POLICY)
+    return live.latest(live.run_to_table(evaluated, "breaker"), ["node", "batch_id"]).drop("reset_epoch")
+
+
+REFERENCE_POLICY = BreakerPolicy()
+
+
+@query("breaker_reference_policy", f"with {states_sql(True, BreakerPolicy(2.0, 1000, 5, 4))} select node, batch_id, epoch, total_events, error_events, error_rate, state from states")
+def breaker_reference_policy(t):
+    """The limit of 2 %, a start from 1000 events with 5 errors, and restarts from 1000 with 4."""
+    made = breaker.breaker_states(t("batch_counts"), REFERENCE_POLICY, t("node_resets"))
+    return made.select("node", "batch_id", "epoch", "total_events", "error_events", "error_rate", "state")
+
+
+@query("reset_flow", f"with {states_sql(True, BreakerPolicy(2.0, 1000, 5, 4))} select node, batch_id, epoch, total_events, error_events, error_rate, state from states")
+def reset_flow(t):
+    """Trips, manual resets and further trips on a live stream: the resets are a stream of their own, joined with the events in one state."""
+    folder = f"{shared_folder(t.spark)}/resets-{uuid.uuid4().hex}"
+    t("node_resets").select("node", "batch_id").write.parquet(folder)
+    resets = live.read_stream(t.spark, folder, "node string, batch_id bigint")
+    ends = F.to_timestamp(F.col("batch_id").cast("string"), "yyyyMMdd") + F.expr("interval 1 day")
+    rows = _timed(t).unionByName(live.timed_marks(resets, F.col("node"), F.col("batch_id"), ends))
+    made = live.latest(live.run_to_table(live.evaluate_timed_stream(rows, LATE, REFERENCE_POLICY), "resets"), ["node", "batch_id"])
+    return made.withColumnRenamed("reset_epoch", "epoch").select("node", "batch_id", "epoch", "total_events", "error_events", "error_rate", "state")
 
 
 @query("windowed_error_rate_stream", WINDOW_SQL)

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lanewright.operators import breaker, reports
+from lanewright.operators import reports
 from lanewright.plans.registry import query
-from lanewright.plans.remediation import POLICY, _event_stream, states, states_sql
-from lanewright.session import materialize, shared_folder
+from lanewright.plans.remediation import LATE, POLICY, _event_stream, event_columns, states_sql
+from lanewright.session import shared_folder
 from lanewright.sources import tables
 from lanewright.streaming import breaker_stream as live
 
@@ -79,20 +79,23 @@ def seed_if_empty(t):
 select e.event_id, case when s.state = 'OPEN' then 'warehouses_dlq_stream' else 'warehouses_main_stream' end as landed_in
 from events e join states s on s.node = 'node-' || cast(e.user_id as string) and s.batch_id = cast(year(e.ts) * 10000 + month(e.ts) * 100 + day(e.ts) as bigint)""")
 def route_stream(t):
-    """The events stream written to its main and dead-letter folders, read back with the folder each row is in."""
-    folder = _folder(t, "routed")
-    decided = materialize(states(t), "states")  # written once, not counted again from all events in every micro-batch
-
-    def decide(batch):
-        tagged = batch.withColumns(
-            {
-                "node": F.concat(F.lit("node-"), F.col("user_id").cast("string")),
-                "batch_id": (F.year("ts") * 10000 + F.month("ts") * 100 + F.day("ts")).cast("bigint"),
-            }
-        )
-        return breaker.route_records(tagged, decided, POLICY).select("event_id", "destination")
-
-    live.route_stream(_event_stream(t).select("event_id", "user_id", "ts"), decide, folder, POLICY).awaitTermination()
+    """The events stream written to its main and dead-letter folders by the live breaker, read back with the folder each row is in.
+
+    The feed ends with a closing mark, which a second run of the same query reads: it goes on from the state that the first one left.
+    """
+    folder, marks = _folder(t, "routed"), _folder(t, "marks")
+    closing = t.spark.createDataFrame([("2100-01-01",)], "at string")
+    closing.limit(0).write.parquet(marks)
+    columns = "event_id bigint, user_id bigint, ts timestamp"
+    for last in (False, True):
+        if last:
+            closing.write.mode("append").parquet(marks)
+        events = _event_stream(t).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+        rows = live.timed_events(events, *event_columns())
+        rows = rows.unionByName(live.closing_mark(live.read_stream(t.spark, marks, "at string"), F.col("at")))
+        routed = live.route_timed_stream(rows, LATE, POLICY)
+        read = lambda batch: batch.select(F.from_json("payload", columns).alias("e"), "destination").select("e.event_id", "destination")
+        live.route_stream(routed, read, folder, POLICY).awaitTermination()
     out = None
     for name in (POLICY.main_table, POLICY.dlq_table):
         landed = t.spark.read.schema("event_id bigint").parquet(f"{folder}/{name}").select("event_id", F.lit(name).alias("landed_in"))

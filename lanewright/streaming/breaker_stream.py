@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -92,6 +93,147 @@ def evaluate_batch_stream(events: DataFrame, node: Column, batch: Column, is_err
     return counted.groupBy("node").applyInPandasWithState(advance, EVALUATION, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+# --- batches closed by event time -----------------------------------------------
+TIMED_COUNTS = "node string, batch_id bigint, total bigint, errors bigint, resets bigint, ends bigint, at timestamp"
+TIMED_EVALUATION = EVALUATION + ", reset_epoch bigint"
+
+
+class Book:
+    """What a node's state holds: totals and status of its closed batches, and counts (and events) of the open ones."""
+
+    def __init__(self, policy: BreakerPolicy, text: str | None):
+        self.policy = policy
+        kept = json.loads(text) if text else {"total": policy.base_total, "errors": policy.base_errors, "status": CLOSED, "epoch": 0, "open": {}}
+        self.total, self.errors, self.status, self.epoch = kept["total"], kept["errors"], kept["status"], kept["epoch"]
+        self.open = {int(b): x for b, x in kept["open"].items()}
+
+    def dump(self) -> str:
+        return json.dumps({"total": self.total, "errors": self.errors, "status": self.status, "epoch": self.epoch, "open": self.open})
+
+    def add(self, batch_id: int, ends: int, n: int, bad: int, reset: bool, payload: str | None = None) -> None:
+        entry = self.open.setdefault(batch_id, {"ends": ends, "n": 0, "bad": 0, "reset": False, "held": []})
+        entry["n"], entry["bad"], entry["reset"] = entry["n"] + n, entry["bad"] + bad, entry["reset"] or reset
+        if payload is not None:
+            entry["held"].append(payload)
+
+    def walk(self, closed_by: int | None = None) -> list[tuple]:
+        """Evaluations of the open batches in order; with a watermark, only those that it closes, which then leave the book."""
+        total, errors, status, epoch, out = self.total, self.errors, self.status, self.epoch, []
+        for batch_id in sorted(self.open):
+            entry = self.open[batch_id]
+            if closed_by is not None and entry["ends"] > closed_by:
+                break
+            if entry["reset"]:
+                total, errors, status, epoch = self.policy.base_total, self.policy.reset_errors, CLOSED, epoch + 1
+            before = status
+            if entry["n"]:
+                total, errors = total + entry["n"], errors + entry["bad"]
+                rate = _half_up(100.0 * errors / total) if total else 0.0
+                after_open = OPEN if entry["bad"] else HALF_OPEN
+                status = OPEN if rate > self.policy.threshold else {OPEN: after_open, HALF_OPEN: CLOSED, CLOSED: CLOSED}[before]
+                table = self.policy.dlq_table if status == OPEN else self.policy.main_table
+                out.append((batch_id, entry["n"], entry["bad"], total, errors, rate, status, before, table, epoch))
+            if closed_by is not None:
+                self.total, self.errors, self.status, self.epoch = total, errors, status, epoch
+        return out
+
+    def close(self, watermark: int) -> list[tuple[str, str]]:
+        """Fold the batches that ended by the watermark into the totals; their events with the table each goes to."""
+        held = {b: x["held"] for b, x in self.open.items() if x["ends"] <= watermark}
+        released = [(payload, row[8]) for row in self.walk(watermark) for payload in held[row[0]]]
+        self.open = {b: x for b, x in self.open.items() if x["ends"] > watermark}
+        return released
+
+
+def timed_marks(marks: DataFrame, node: Column, batch: Column, ends: Column) -> DataFrame:
+    """Resets, as rows for ``evaluate_timed_stream``: each restarts its node before the batch is counted.  They do not move the watermark."""
+    return marks.select(
+        node.alias("node"), batch.cast("bigint").alias("batch_id"), *[F.lit(n).cast("bigint").alias(c) for c, n in (("total", 0), ("errors", 0), ("resets", 1))],
+        F.unix_millis(ends).alias("ends"), F.lit(None).cast("timestamp").alias("at"),
+    )
+
+
+def timed_counts(events: DataFrame, node: Column, batch: Column, is_error: Column, ends: Column) -> DataFrame:
+    """Events as rows for ``evaluate_timed_stream``, counted per Arrow batch first, so a hot node shuffles little."""
+    tagged = events.select(
+        node.alias("node"), batch.cast("bigint").alias("batch_id"), F.lit(1).cast("bigint").alias("total"),
+        F.when(is_error, 1).otherwise(0).cast("bigint").alias("errors"), F.lit(0).cast("bigint").alias("resets"), F.unix_millis(ends).alias("ends"), ends.alias("at"),
+    )
+
+    def combined(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in chunks:
+            how = {"total": "sum", "errors": "sum", "resets": "max", "ends": "max", "at": "max"}
+            yield rows.groupby(["node", "batch_id"], as_index=False, sort=False).agg(how)
+
+    return tagged.mapInPandas(combined, TIMED_COUNTS)
+
+
+def _stateful(rows: DataFrame, late: str, policy: BreakerPolicy, schema: str, emit: Callable) -> DataFrame:
+    """Books per node, closed by the watermark; ``emit(key, book, first batch touched, watermark)`` gives the rows of a call."""
+
+    def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        book, touched, watermark = Book(policy, state.get[0] if state.exists else None), None, state.getCurrentWatermarkMs()
+        for chunk in chunks:
+            payloads = chunk["payload"] if "payload" in chunk else [None] * len(chunk)
+            for batch_id, n, bad, reset, ends, payload in zip(chunk["batch_id"], chunk["total"], chunk["errors"], chunk["resets"], chunk["ends"], payloads):
+                if ends > watermark and (n or reset):
+                    book.add(int(batch_id), int(ends), int(n), int(bad), bool(reset), payload)
+                    touched = int(batch_id) if touched is None else min(touched, int(batch_id))
+        out = emit(key, book, touched, watermark)
+        state.update((book.dump(),))
+        if book.open:
+            state.setTimeoutTimestamp(min(x["ends"] for x in book.open.values()))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    timed = rows.withWatermark("at", late)
+    return timed.groupBy("node").applyInPandasWithState(advance, schema, "book string", "append" if schema == ROUTED else "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def evaluate_timed_stream(rows: DataFrame, late: str, policy: BreakerPolicy = BreakerPolicy()) -> DataFrame:
+    """Running state per node from ``timed_counts``, united with ``timed_marks`` if there are resets: a row per node and batch, given again when it changes.
+
+    A batch stays open until the watermark (``late`` behind the end of the newest batch of all nodes) has passed its end, and every row counts in its own batch, in whatever order rows
+    arrive until then; all later open batches are judged anew.  The newest row of a batch (see ``latest``) is that of the batch evaluation.  Rows that come after their
+    batch was closed are dropped, as the watermark says.
+    """
+
+    def emit(key: tuple, book: Book, touched: int | None, watermark: int) -> list[tuple]:
+        made = [(key[0], *row) for row in book.walk() if touched is not None and row[0] >= touched]
+        book.close(watermark)
+        return made
+
+    return _stateful(rows, late, policy, TIMED_EVALUATION, emit)
+
+
+ROUTED = "payload string, destination string"
+
+
+def timed_events(events: DataFrame, node: Column, batch: Column, is_error: Column, ends: Column) -> DataFrame:
+    """Events as rows for ``route_timed_stream``, with all their columns as JSON."""
+    return events.select(
+        node.alias("node"), batch.cast("bigint").alias("batch_id"), F.lit(1).cast("bigint").alias("total"), F.when(is_error, 1).otherwise(0).cast("bigint").alias("errors"),
+        F.lit(0).cast("bigint").alias("resets"), F.unix_millis(ends).alias("ends"), ends.alias("at"), F.to_json(F.struct("*")).alias("payload"),
+    )
+
+
+def closing_mark(marks: DataFrame, at: Column) -> DataFrame:
+    """Rows that say that nothing before ``at`` will come: they only move the watermark, so a feed that has ended is routed to its last event."""
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("batch_id", "total", "errors", "resets", "ends")]
+    return marks.select(F.lit("").alias("node"), *zero, at.cast("timestamp").alias("at"), F.lit(None).cast("string").alias("payload"))
+
+
+def route_timed_stream(rows: DataFrame, late: str, policy: BreakerPolicy = BreakerPolicy()) -> DataFrame:
+    """Every event once, as JSON, with the table it goes to: the state after all of its own batch was counted decides.
+
+    An event waits in its node's state until the watermark has closed its batch; nothing but the stream and that state is read.
+    """
+
+    def emit(key: tuple, book: Book, touched: int | None, watermark: int) -> list[tuple]:
+        return book.close(watermark)
+
+    return _stateful(rows, late, policy, ROUTED, emit)
+
+
 def windowed_error_rate(events: DataFrame, ts: str, is_error: Column, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Error rate per event-time window; on a stream ``late`` sets the watermark and drops later rows."""
     timed = events.withColumn("_at", F.col(ts).cast("timestamp"))
@@ -138,9 +280,11 @@ def route_stream(events: DataFrame, decide: Callable[[DataFrame], DataFrame], fo
 
     def write(batch: DataFrame, epoch: int) -> None:
         routed = decide(batch).persist()
-        for table in (policy.main_table, policy.dlq_table):
-            routed.filter(F.col("destination") == table).drop("destination").write.mode("overwrite").parquet(f"{folder}/{table}/epoch={epoch}")
-        routed.unpersist()
+        try:
+            for table in (policy.main_table, policy.dlq_table):
+                routed.filter(F.col("destination") == table).drop("destination").write.mode("overwrite").parquet(f"{folder}/{table}/epoch={epoch}")
+        finally:
+            routed.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_log").trigger(availableNow=True).start()
 
@@ -150,11 +294,13 @@ def state_change_feed(evaluations: DataFrame, listeners: list[Callable[[DataFram
 
     def tell(batch: DataFrame, epoch: int) -> None:
         changes = batch.filter("state <> previous_state").persist()
-        for listener in listeners:
-            try:
-                listener(changes, epoch)
-            except Exception:
-                log.exception("listener failed in micro-batch %s", epoch)
-        changes.unpersist()
+        try:
+            for listener in listeners:
+                try:
+                    listener(changes, epoch)
+                except Exception:
+                    log.exception("listener failed in micro-batch %s", epoch)
+        finally:
+            changes.unpersist()
 
     return evaluations.writeStream.outputMode("update").foreachBatch(tell).option("checkpointLocation", log_folder).trigger(availableNow=True).start()

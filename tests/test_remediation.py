@@ -101,6 +101,61 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     assert sorted(seen) == sorted(map(tuple, changes))
 
 
+def day_rows(rnd, days=6, per_day=60):
+    rows = [(d * per_day + i, f"n{rnd.randrange(3)}", d, rnd.random() < (0.5 if d in (1, 4) else 0.02)) for d in range(days) for i in range(per_day)]
+    return [(i, n, d, bad, f"2024-01-{d + 1:02d} {(i * 7) % 24:02d}:00:00") for i, n, d, bad in rows]
+
+
+def timed_columns():
+    return F.col("node"), F.col("day"), F.col("bad"), F.date_trunc("day", F.col("at").cast("timestamp")) + F.expr("interval 1 day")
+
+
+@pytest.mark.parametrize("with_resets", [False, True])
+def test_timed_stream_in_any_order_equals_batch(spark, tmp_path, with_resets):
+    rnd = random.Random(5)
+    rows, schema = day_rows(rnd), "id long, node string, day long, bad boolean, at string"
+    rnd.shuffle(rows)
+    for part in range(4):  # every file has rows of all days
+        spark.createDataFrame(rows[part::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    policy = BreakerPolicy(threshold=8.0, base_total=10, base_errors=0, reset_errors=1)
+    stream = live.read_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    counted = live.timed_counts(stream, *timed_columns())
+    marks = spark.createDataFrame([("n0", 2), ("n1", 5), ("n2", 2)], "node string, batch_id long")
+    if with_resets:
+        marks.coalesce(1).write.parquet(str(tmp_path / "resets"))
+        resets = live.read_stream(spark, str(tmp_path / "resets"), "node string, batch_id long")
+        ends = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-02 00:00:00")) + F.col("batch_id") * 86400)
+        counted = counted.unionByName(live.timed_marks(resets, F.col("node"), F.col("batch_id"), ends))
+    got = live.latest(live.run_to_table(live.evaluate_timed_stream(counted, "10 days", policy), "timed"), ["node", "batch_id"])
+    counts = breaker.batch_counts(spark.createDataFrame(rows, schema), "node", "day", F.col("bad"))
+    want = breaker.breaker_states(counts, policy, marks if with_resets else None).select("node", "batch_id", "error_rate", "state", "epoch")
+    assert sorted(map(tuple, got.select("node", "batch_id", "error_rate", "state", "reset_epoch").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_live_routes_wait_for_their_batch(spark, tmp_path):
+    rnd = random.Random(9)
+    rows, schema = day_rows(rnd), "id long, node string, day long, bad boolean, at string"
+    policy = BreakerPolicy(threshold=8.0, base_total=10, base_errors=0)
+    closing = spark.createDataFrame([("2100-01-01",)], "at string")
+    closing.limit(0).write.parquet(str(tmp_path / "marks"))
+    half = len(rows) // 12
+    for last in (False, True):
+        for part in range(0 if not last else 6, 6 if not last else 12):  # two files a day, the later rows of a day first
+            piece = rows[part * half : (part + 1) * half] if part % 2 else list(reversed(rows[part * half : (part + 1) * half]))
+            spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if last:
+            closing.write.mode("append").parquet(str(tmp_path / "marks"))
+        events = live.timed_events(live.read_stream(spark, str(tmp_path / "in"), schema), *timed_columns())
+        events = events.unionByName(live.closing_mark(live.read_stream(spark, str(tmp_path / "marks"), "at string"), F.col("at")))
+        read = lambda batch: batch.select(F.get_json_object("payload", "$.id").cast("long").alias("id"), "destination")
+        live.route_stream(live.route_timed_stream(events, "1 day", policy), read, str(tmp_path / "out"), policy).awaitTermination()
+    got = {(r["id"], name) for name in (policy.main_table, policy.dlq_table) for r in spark.read.schema("id long").parquet(str(tmp_path / "out" / name)).collect()}
+    df = spark.createDataFrame(rows, schema).withColumn("batch_id", F.col("day"))
+    states = breaker.breaker_states(breaker.batch_counts(df, "node", "day", F.col("bad")), policy)
+    want = {(r["id"], r["destination"]) for r in breaker.route_records(df, states, policy).collect()}
+    assert got == want and len({name for _, name in got}) == 2
+
+
 def test_versions_time_travel_and_rollback(spark):
     store = SnapshotStore(spark, f"{shared_folder(spark)}/store-{random.random()}")
     first, second = spark.range(5).toDF("x"), spark.range(3, 9).toDF("x")
