@@ -11,7 +11,8 @@ posted, so short items cost nothing where there are none.
 
 Items of any length are found; an item of one word contaminates every text that has the word.  Items with equal words count as one, the smallest id.
 Items are told apart by their words, so an item without an id contaminates too, and is listed as one null after the other ids.  Null and
-empty texts and items hit nothing.  Rows are judged one by one, also when an id repeats or is null.  An empty benchmark contaminates nothing.
+empty texts and items hit nothing.  Hits are kept by a hash of the text and not by its id, and every row verifies them on its own words: ids may repeat, be null or of
+any type, equal texts are looked up once, and texts whose hashes collide only verify more.  An empty benchmark contaminates nothing.
 
 The seeds of the benchmark are sent to all tasks only after they have been counted and found to be at most
 ``MOST_SENT``; a larger benchmark is joined by shuffling, with the same result.  Hits are reduced to distinct diagonals before they travel.
@@ -29,8 +30,6 @@ from lanewright.session import materialize
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 13
 ONE_IN = 6
-#: Fewest words of an item that the check SQL, which knows only ``MASKS``, looks at.
-SHORTEST = 8
 #: Fewest words of an item that ``MASKS`` find wherever words are replaced; shorter ones are posted under ``RUNS``.
 MASKED = 10
 RUNS = tuple(tuple(range(n)) for n in range(1, MASKED // 2 + 1))
@@ -88,9 +87,9 @@ def _best_stretch(words: Column, hit: Column) -> Column:
     return F.when(length >= span, F.array_max(F.transform(F.sequence(F.lit(0), length - span), at))).otherwise(F.lit(-1))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
     """Every row of ``docs``: ``keep`` and ``_items``, the sorted ids of the benchmark items that it overlaps."""
-    rows = docs.select(F.struct(*keep).alias("_kept"), F.col(f"`{id_column}`").alias("_id"), text_of(text).alias("_text"))
+    rows = docs.select(F.struct(*keep).alias("_kept"), text_of(text).alias("_text")).withColumn("_id", F.xxhash64("_text"))
     items = materialize(benchmark_items(benchmark), "items")
     posted = materialize(item_seeds(items), "seeds")
     searched = F.broadcast(posted) if posted.count() <= MOST_SENT else posted
@@ -103,7 +102,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], id_column:
     )
     hits = materialize(hits.withColumnRenamed("_id", "_hit_id"), "hits")
     # The hits are the hinted side: the texts are streamed past them, neither sorted nor sent to all tasks.
-    joined = rows.join(hits.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_hit_id")), "left")
+    joined = rows.join(hits.hint("shuffle_hash"), F.col("_id") == F.col("_hit_id"), "left")
     words = joined.select("_kept", "_hits", F.when(F.col("_hits").isNotNull(), word_array(F.col("_text"))).alias("_words"))
 
     def leaks(hit: Column) -> Column:
@@ -117,11 +116,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[Column], id_column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``id_column``, ``leaked`` and ``items``, the ids of the benchmark items it overlaps."""
-    judged = judge(docs, benchmark, [F.col(f"`{id_column}`")], id_column, text)
+    judged = judge(docs, benchmark, [F.col(f"`{id_column}`")], text)
     return judged.select(id_column, (F.size("_items") > 0).alias("leaked"), F.col("_items").alias("items"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no item, with all their columns."""
-    judged = judge(docs, benchmark, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], id_column, text)
+    judged = judge(docs, benchmark, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], text)
     return judged.filter(F.size("_items") == 0).select("_row.*")

@@ -14,8 +14,8 @@ shingle hashes).  A cluster that is too large for a task is cut into blocks, and
 and no task holds more than two blocks.  A task returns a spanning forest of its links, which has the same components as all links.
 
 Words are runs of other bytes than space and 0x09-0x0D, A-Z lower-cased.  Null and empty texts have no set and are linked with nothing.
-Rows are numbered once, and linked, judged and dropped by that number: an id may repeat.  A component is named by its smallest id, null if it has none.
-Of each component the first row with that id stays, and the first of its rows without an id if it has such rows.  Only the named columns are read; ``drop_near_duplicates`` gives back all columns of the rows that stay.
+Rows are numbered once, and linked, judged and dropped by that number: an id may repeat, and be of any type that has an order.  A component is named by its smallest id, null if it has none.
+Of each component one row stays, the first with that id, or the first of all if none has an id.  Words of any length are hashed whole; an empty table gives an empty table.  Only the named columns are read; ``drop_near_duplicates`` gives back all columns of the rows that stay.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ PIECE = 1 << 20
 _random = np.random.Generator(np.random.PCG64(20240817))
 BYTE_VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
-POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
+#: Places in a word whose values are looked up; later ones are worked out.
+USUAL = 64
+STEP = np.uint64(0x9E3779B97F4A7C15)
 PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFT = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -59,6 +61,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _placed(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A value of its own for each byte and place, so that the sum over a word depends on the order of its bytes."""
+    return _mix(values + places.astype(np.uint64) * STEP)
+
+
+TABLE = _placed(BYTE_VALUE[:, None], np.arange(USUAL)[None, :]).ravel()
+
+
 def _piece_words(data: np.ndarray) -> np.ndarray:
     space = IS_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
@@ -68,7 +78,9 @@ def _piece_words(data: np.ndarray) -> np.ndarray:
     inside = np.flatnonzero(~space)
     lengths = ends - starts
     offset = inside - np.repeat(starts, lengths)
-    values = BYTE_VALUE[data[inside]] * POWERS[offset & 0xFFFF]
+    values = TABLE[data[inside].astype(np.int64) * USUAL + np.minimum(offset, USUAL - 1)]
+    late = np.flatnonzero(offset >= USUAL)
+    values[late] = _placed(BYTE_VALUE[data[inside[late]]], offset[late])
     return _mix(np.add.reduceat(values, np.concatenate(([0], np.cumsum(lengths)[:-1]))) ^ lengths.astype(np.uint64))
 
 
@@ -209,8 +221,8 @@ def _link_task(percent: int, least: int):
 def _judged(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFrame:
     """Per row of ``numbered``: ``id`` (the number of the row), ``doc`` (its id), ``n``, ``component`` and ``kept``."""
     least = least_matches(percent / 100)
-    rows = docs.select(F.col("_place").alias("id"), F.col(f"_doc.`{id_column}`").cast("bigint").alias("doc"), text_of(f"_doc.`{text}`").alias("_text"))
-    signed = materialize(rows.mapInArrow(_signatures, "id bigint, doc bigint, n bigint, key binary, sign array<int>"), "signatures")
+    rows = docs.select(F.col("_place").alias("id"), F.col(f"_doc.`{id_column}`").alias("doc"), text_of(f"_doc.`{text}`").alias("_text"))
+    signed = materialize(rows.mapInArrow(_signatures, f"id bigint, doc {rows.schema['doc'].dataType.simpleString()}, n bigint, key binary, sign array<int>"), "signatures")
 
     named = F.when(F.col("doc").isNotNull(), F.struct("doc", "id"))
     classes = signed.filter("key is not null").groupBy("key").agg(
@@ -251,7 +263,7 @@ def _judged(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFra
         F.when(F.col("node").isNull(), F.col("unnamed")).otherwise(F.col("first_unnamed")).alias("first_unnamed"),
     )
     alone = F.col("key").isNull()
-    kept = alone | F.coalesce(F.col("id") == F.col("first.id"), F.lit(False)) | F.coalesce(F.col("id") == F.col("first_unnamed"), F.lit(False))
+    kept = alone | F.coalesce(F.col("id") == F.col("first.id"), F.lit(False)) | F.coalesce(F.col("first").isNull() & (F.col("id") == F.col("first_unnamed")), F.lit(False))
     component = F.when(alone, F.col("doc")).otherwise(F.col("first.doc"))
     return signed.join(placed, "key", "left").select("id", "doc", "n", component.alias("component"), kept.alias("kept"))
 

@@ -214,33 +214,28 @@ def op8(spark, table):
     return made.withColumns({m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"], s["end"])), " ") for m in masks})
 
 
-def mask_join(left: str, right: str) -> str:
-    """SQL: places of two word lists that agree under one of the masks."""
-    offsets = [[f"{left}.words[{left}.p + {o}] = {right}.words[{right}.p + {o}]" for o in mask] for mask in decontaminate.MASKS]
-    return " or ".join("(" + " and ".join(x) + ")" for x in offsets)
-
-
+# A stretch of 13 words with two replaced ones has three words in a row that are not, and so has every shorter item of three words or more.
 LEAK_SQL = f"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as words from documents),
 b as (
     select min(item_id) as item_id, words, least({decontaminate.SPAN}, len(words)) as span
-    from (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as words from benchmark)
-    where len(words) >= {decontaminate.SHORTEST} group by words
+    from (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as words from benchmark) where len(words) > 0 group by words
 ),
-dp as (select doc_id, words, unnest(range(1, len(words) + 1)) as p from d), bp as (select item_id, words, unnest(range(1, len(words) + 1)) as p from b),
+dp as (select doc_id, words, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] as three from (select doc_id, words, unnest(range(1, len(words) + 1)) as p from d)),
+bp as (select item_id, words, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] as three from (select item_id, words, unnest(range(1, len(words) + 1)) as p from b)),
 h as (
-    select distinct dp.doc_id, bp.item_id, dp.p - bp.p as diagonal from dp join bp
-    on dp.words[dp.p] = bp.words[bp.p] and dp.words[dp.p + 1] = bp.words[bp.p + 1] and dp.words[dp.p + 7] = bp.words[bp.p + 7]
-    where {mask_join("dp", "bp")}
+    select distinct dp.doc_id, bp.item_id, dp.p - bp.p as diagonal from dp join bp on dp.three = bp.three
+    union select dp.doc_id, bp.item_id, dp.p - 1 from dp join bp on dp.words[dp.p] = bp.words[1] where bp.p = 1 and len(bp.words) < 3
 ),
 m as (
     select h.doc_id, h.item_id, h.diagonal, span, bp.p, cast(d.words[bp.p + h.diagonal] = bp.words[bp.p] as integer) as same
     from h join b using (item_id) join bp using (item_id) join d using (doc_id) where bp.p + h.diagonal between 1 and len(d.words)
 ),
-s as (select x.doc_id, x.item_id, x.span, sum(y.same) as equal, count(*) as n from m x join m y
-    on x.doc_id = y.doc_id and x.item_id = y.item_id and x.diagonal = y.diagonal and y.p >= x.p and y.p < x.p + x.span group by x.doc_id, x.item_id, x.diagonal, x.p, x.span),
-l as (select doc_id, count(distinct item_id) as n_items, min(item_id) as first_item from s
-    where n = span and span - equal <= floor(span / {decontaminate.ONE_IN}) group by doc_id)
+s as (
+    select doc_id, item_id, span, sum(same) over w as equal, count(*) over w as n from m
+    window w as (partition by doc_id, item_id, diagonal order by p rows between current row and {decontaminate.SPAN - 1} following)
+),
+l as (select doc_id, count(distinct item_id) as n_items, min(item_id) as first_item from s where n >= span and n - equal <= floor(span / {decontaminate.ONE_IN}) group by doc_id)
 select doc_id, l.doc_id is not null as leaked, coalesce(n_items, 0) as n_items, first_item from d left join l using (doc_id)
 """
 
