@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lanewright.operators import breaker, sets, versions
+from lanewright.operators import breaker, breaker_slices, sets, versions
 from lanewright.plans.bindings import SCHEMAS
 from lanewright.plans.registry import query, rounded as R
 from lanewright.policy import BreakerPolicy
@@ -54,6 +54,13 @@ def reset_epoch(t):
     return states(t, resets=True).select("node", "batch_id", "epoch", "total_events", "error_events", "state")
 
 
+@query("breaker_states_sliced", f"with {states_sql(True)} select node, batch_id, epoch, total_events, error_events, error_rate, state from states")
+def breaker_states_sliced(t):
+    """The same states by running totals over slices, for nodes whose history no task should hold."""
+    made = breaker_slices.sliced_states(t("batch_counts"), POLICY, t("node_resets"))
+    return made.select("node", "batch_id", "epoch", "total_events", "error_events", "error_rate", "state")
+
+
 @query("state_changes", f"""with {states_sql()} select node, batch_id, state, previous_state from (
   select *, coalesce(lag(state) over (partition by node, epoch order by batch_id), 'CLOSED') as previous_state from states) x where previous_state <> state""")
 def state_changes(t):

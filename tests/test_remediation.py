@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lanewright.operators import breaker, sets, versions
+from lanewright.operators import breaker, breaker_slices, sets, versions
 from lanewright.policy import BreakerPolicy
 from lanewright.session import shared_folder
 from lanewright.sources.snapshots import SnapshotStore
@@ -52,6 +52,22 @@ def test_closed_form_equals_the_walk(spark, with_resets):
     assert {(r[0], r[1], r[2]) for r in got} == {(n, b, s) for n, steps in want.items() for b, s in steps}
 
 
+@pytest.mark.parametrize("with_resets", [False, True])
+def test_slices_of_one_hot_node_equal_the_walk(spark, with_resets):
+    rnd = random.Random(21)
+    policy = BreakerPolicy(threshold=5.0, base_total=50, base_errors=2, reset_errors=1)
+    hot = [(b, rnd.randint(-3, 60), rnd.choice([0, 0, 0, -1, 1, 2, 9])) for b in range(2000)]
+    cold = [(b, 10, 0) for b in range(5)]
+    resets = {b for b in range(2000) if with_resets and rnd.random() < 0.02}
+    counts = spark.createDataFrame([("hot", *x) for x in hot] + [("cold", *x) for x in cold], COUNTS)
+    marks = spark.createDataFrame([("hot", b) for b in resets], "node string, batch_id long") if with_resets else None
+    made = breaker_slices.sliced_states(counts, policy, marks, slices=8)
+    got = {(r["node"], r["batch_id"], r["state"]) for r in made.select("node", "batch_id", "state").collect()}
+    assert got == {("hot", *x) for x in walk(hot, policy, resets)} | {("cold", *x) for x in walk(cold, policy)}
+    columns = ["node", "batch_id", "epoch", "total_events", "error_events", "error_rate", "state"]
+    assert sorted(map(tuple, made.select(columns).collect())) == sorted(map(tuple, breaker.breaker_states(counts, policy, marks).select(columns).collect()))
+
+
 def test_routing_is_a_partition_and_incidents_close(spark):
     events = spark.createDataFrame([(i, "n", i // 100, i < 130) for i in range(300)], "id long, node string, batch_id long, bad boolean")
     policy = BreakerPolicy(threshold=10.0, base_total=0, base_errors=0)
