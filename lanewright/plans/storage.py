@@ -11,7 +11,7 @@ from lanewright.operators import reports
 from lanewright.plans.registry import query
 from lanewright.plans.remediation import LATE, POLICY, _event_stream, event_columns, states_sql
 from lanewright.session import shared_folder
-from lanewright.sources import tables
+from lanewright.sources import pages, tables
 from lanewright.streaming import breaker_stream as live
 
 
@@ -75,6 +75,14 @@ def seed_if_empty(t):
     return tables.read_table(t.spark, path)
 
 
+@query("page_decisions_indexed", "select id, warehouse_id, prescribed_cost from {decisions} order by id desc limit 50 offset 100")
+def page_decisions_indexed(t):
+    """The page of ``page_decisions`` from a stored index, which later pages would share."""
+    folder = _folder(t, "pages")
+    pages.write_page_index(t("decisions").select("id", "warehouse_id", "prescribed_cost"), [-F.col("id")], folder)
+    return pages.read_page(t.spark, folder, 100, 50, 100)
+
+
 @query("route_stream", f"""with {states_sql()}
 select e.event_id, case when s.state = 'OPEN' then 'warehouses_dlq_stream' else 'warehouses_main_stream' end as landed_in
 from events e join states s on s.node = 'node-' || cast(e.user_id as string) and s.batch_id = cast(year(e.ts) * 10000 + month(e.ts) * 100 + day(e.ts) as bigint)""")

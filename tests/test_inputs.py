@@ -65,3 +65,17 @@ def test_new_decisions_are_only_the_new_rows(spark):
     new = spark.createDataFrame([(2, "b"), (1, "a")], "request_no bigint, warehouse_id string")
     rows = roi.new_decisions(old, new, ["request_no"], now="2024-01-02 00:00:00").collect()
     assert sorted((r["id"], r["warehouse_id"]) for r in rows) == [(8, "a"), (9, "b")]
+
+
+def test_page_index_reads_what_a_page_holds(spark, tmp_path):
+    from lanewright.operators import ranking
+    from lanewright.sources import pages
+
+    df = spark.range(0, 5000, 1, 6).selectExpr("(id * 7919) % 5000 as x", "id as y")
+    pages.write_page_index(df, ["x"], str(tmp_path / "index"), slices=5)
+    for skip, limit in ((0, 10), (1234, 50), (4990, 50), (6000, 5)):
+        found = pages.read_page(spark, str(tmp_path / "index"), skip, limit)
+        assert found.collect() == ranking.page(df, ["x"], skip, limit).collect()
+    assert "GreaterThanOrEqual(_place,1234)" in pages.read_page(spark, str(tmp_path / "index"), 1234, 50)._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        pages.read_page(spark, str(tmp_path / "index"), -1)
