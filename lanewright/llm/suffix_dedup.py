@@ -12,9 +12,11 @@ prefix polynomial hashes, so a comparison takes the logarithm of the length.  Fo
 that extend by ``LENGTH - d`` bytes form a run, and two of a run whose ``d`` bytes before the anchor have the same hash are
 the same string.  Every such pair is compared byte by byte before it counts, so a hash collision removes nothing.
 
-Large groups.  A gram with more than ``MOST_IN_GROUP`` anchors (a line that a third of all texts hold) is not gathered: each of its strings becomes a
-row with its hash beside the gram's, which an aggregate with map-side combine counts and a join that AQE may split marks.  These two hashes
-together have 128 bits.
+Large groups.  A gram with more than ``MOST_IN_GROUP`` anchors (a line that a third of all texts hold) is split by the bytes around it before it is
+sorted.  Equal contexts first become one by an aggregate with map-side combine; all strings of a context that several anchors have are repeated.
+What differs is cut into halves by the anchor's offset in the string: all strings of a half share more bytes than the gram, so their hash splits the
+group.  Halves that are still too large are cut again.  After eight cuts a half is one string, whose copies are one context, so every group ends up sorted, and
+every byte that goes was compared.  A context that crosses the end of the common line is cut at most twice on each level, since the parts inside the line become one.
 
 Null and empty texts have no bytes and lose none.  Rows are numbered first, so repeated rows and repeated or null ids are different texts, and two
 equal rows of ``LENGTH`` bytes or more empty each other.  An empty table gives an empty table.  Only the id and the text are read.
@@ -22,10 +24,12 @@ equal rows of ``LENGTH`` bytes or more empty each other.  An empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +39,12 @@ from lanewright.session import materialize
 
 LENGTH = 200
 GRAM = 32
-#: Anchors of one gram that are sorted together: at most 20 MB of contexts in a task.  Strings one by one take seven times the room.
-MOST_IN_GROUP = 50_000
+#: Anchors of one gram that are sorted together, at most 8 MB of contexts; a larger group is cut until its parts are no larger.
+MOST_IN_GROUP = 20_000
+#: Offsets of an anchor in its string lie in bands of ``2 ** bits`` offsets; all of them lie in the first band of 8 bits.
+BAND_BITS = 8
+#: Contexts in one Arrow batch.
+BATCH_CONTEXTS = 4096
 #: Contexts sorted at once, and string starts hashed at once (the arrays of a piece stay in a core's cache).
 SORTED_AT_ONCE = 8192
 PIECE = 1 << 15
@@ -132,33 +140,43 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, *columns)], names=["row", "gram", "at", "first", "last"])
 
 
+CONTEXT = "row bigint, gram bigint, at bigint, first bigint, last bigint, context binary"
+
+
+def _context_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), BATCH_CONTEXTS):
+        *numbers, contexts = zip(*rows[i : i + BATCH_CONTEXTS])
+        arrays = [*[pa.array(x, pa.int64()) for x in numbers], pa.array(contexts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["row", "gram", "at", "first", "last", "context"])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, body, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            text = _unpack(body)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row] * len(marks), pa.int64()), pa.array([m["gram"] for m in marks], pa.int64()), pa.array([m["at"] for m in marks], pa.int64()),
-                    pa.array([m["first"] for m in marks], pa.int64()), pa.array([m["last"] for m in marks], pa.int64()),
-                    pa.array([text[m["first"] : m["last"] + LENGTH] for m in marks], pa.binary()),
-                ],
-                names=["row", "gram", "at", "first", "last", "context"],
-            )
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of an anchor as a row: its gram, its own hash and its start."""
-    for batch in batches:
-        for row, body, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            text = _unpack(body)
-            for m in marks:
-                starts = np.arange(m["last"] - m["first"] + 1)
-                hashed = _mix(Hashes(_array(text[m["first"] : m["last"] + LENGTH])).part(starts, LENGTH)).view(np.int64)
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row)), pa.array(np.full(n, m["gram"])), pa.array(hashed), pa.array(starts + m["first"])],
-                    names=["row", "gram", "string", "first"],
-                )
+        for row, body, marks in zip(*(batch.column(i) for i in range(3))):
+            row, text, marks = row.as_py(), _unpack(body.as_py()), marks.as_py()
+            for i in range(0, len(marks), BATCH_CONTEXTS):
+                part = marks[i : i + BATCH_CONTEXTS]
+                yield from _context_rows([(row, m["gram"], m["at"], m["first"], m["last"], text[m["first"] : m["last"] + LENGTH]) for m in part])
+
+
+def halves(row: int, at: int, first: int, last: int, context: bytes, bits: int) -> Iterator[tuple]:
+    """The parts of a context whose strings have the anchor in one band of ``2 ** bits`` offsets, named by the hash of the bytes that all strings of the band share."""
+    for band in range((at - last) >> bits, ((at - first) >> bits) + 1):
+        low = band << bits
+        high = min(low + (1 << bits) - 1, LENGTH - GRAM)
+        begin, end = max(first, at - high), min(last, at - low)
+        shared = context[at - low - first : at - high + LENGTH - first]
+        name = xxhash.xxh3_64_intdigest(shared, seed=low + 1)
+        yield row, name - (1 << 63), at, begin, end, context[begin - first : end + LENGTH - first]
+
+
+def _halved(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("row", "at", "first", "last", "context")]
+            yield from _context_rows([part for values in zip(*columns) for part in halves(*values, bits)])
+
+    return run
 
 
 def common_extension(hashes: Hashes, left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -334,6 +352,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _split_spans(contexts: DataFrame, most: int, sorted_spans: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Repeated spans of groups that are too large to sort.  Each round makes equal contexts one, sorts the groups that are small enough and halves the rest."""
+    found = []
+    for bits in range(BAND_BITS - 1, -2, -1):
+        contexts = materialize(contexts, "contexts")
+        same = ["gram", "before", "behind", "context"]
+        placed = contexts.withColumn("before", F.col("at") - F.col("first")).withColumn("behind", F.col("last") - F.col("at"))
+        different = materialize(
+            placed.groupBy(*same).agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min(F.struct("row", "at"))["at"].alias("at")), "different"
+        )
+        several = different.filter("n > 1").select(*same)
+        found.append(placed.join(several, same).select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")))
+        sizes = different.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
+        placed = different.withColumn("first", F.col("at") - F.col("before")).withColumn("last", F.col("at") + F.col("behind"))
+        sized = placed.join(sizes, "gram").select("row", "gram", "at", "first", "last", "context", "size")
+        # After the last cut a group holds one string and whatever shares its 64-bit hash.
+        fits = F.col("size") <= most if bits >= 0 else F.lit(True)
+        found.append(sorted_spans(sized.filter(fits).drop("size")))
+        rest = sized.filter(~fits).drop("size")
+        if rest.isEmpty():
+            break
+        contexts = rest.mapInArrow(_halved(bits), CONTEXT)
+    return reduce(DataFrame.union, found)
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """Per row: ``id_column``, ``n_bytes``, ``removed`` (maximal removed runs: start, end) and ``kept``, the bytes that stay."""
     spark = docs.sparkSession
@@ -350,16 +393,16 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         of_row = part.groupBy("row").agg(F.collect_list(F.struct("gram", "at", "first", "last")).alias("marks"))
         return bodies.select("row", "body").join(of_row.hint("shuffle_hash"), "row")
 
-    contexts = with_bodies(marks.filter(F.col("size") <= most_in_group)).mapInArrow(
-        _contexts, "row bigint, gram bigint, at bigint, first bigint, last bigint, context binary"
-    )
-    spans = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "row bigint, start bigint, end bigint")
+    def contexts_of(part: DataFrame) -> DataFrame:
+        return with_bodies(part).mapInArrow(_contexts, CONTEXT)
+
+    def sorted_spans(contexts: DataFrame) -> DataFrame:
+        return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "row bigint, start bigint, end bigint")
+
+    spans = sorted_spans(contexts_of(marks.filter(F.col("size") <= most_in_group)))
     large = marks.filter(F.col("size") > most_in_group)
     if not large.isEmpty():
-        strings = materialize(with_bodies(large).mapInArrow(_strings, "row bigint, gram bigint, string bigint, first bigint"), "strings")
-        several = strings.groupBy("gram", "string").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "string")
-        again = strings.join(several, ["gram", "string"]).select("row", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("end"))
-        spans = spans.union(again)
+        spans = spans.union(_split_spans(contexts_of(large), most_in_group, sorted_spans))
     of_row = materialize(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     joined = bodies.join(of_row.hint("shuffle_hash"), "row", "left").select("id", "body", "spans")
     cut = joined.mapInArrow(_cut, f"id {id_type}, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")

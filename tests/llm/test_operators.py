@@ -274,6 +274,41 @@ def test_repeated_bytes(spark, most):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_a_line_of_a_third_of_all_texts(spark):
+    """24,000 texts hold one line between words of their own: the group is split, and just the line goes."""
+    line = prose(60, random.Random(8))[:260]
+    own = F.concat_ws(" ", *[F.sha2(F.concat(F.lit(part), F.col("id").cast("string")), 256) for part in "abcdef"])
+    docs = spark.range(72_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.substring(own, 1, 150), F.lit("|" + line + "|"), F.substring(own, 200, 150))).otherwise(own).alias("text"),
+    )
+    cut = suffix_dedup.remove_repeats(docs).select("doc_id", F.size("removed").alias("n"), F.get("removed", F.lit(0))["start"].alias("a"), F.get("removed", F.lit(0))["end"].alias("b"))
+    found = {tuple(r) for r in cut.groupBy((F.col("doc_id") % 3 == 0).alias("has"), "n").agg(F.min("a"), F.max("a"), F.min("b"), F.max("b"), F.count("*")).collect()}
+    hexes = 16  # A hex digit on either side of the line may be that of another text; so may two or more.
+    assert {(h, n, c) for h, n, *_, c in found} == {(True, 1, 24_000), (False, 0, 48_000)}
+    for has, _, a, a_most, b, b_most, _ in found:
+        assert not has or (150 - hexes < a <= a_most <= 150 and 152 + len(line) <= b <= b_most < 152 + len(line) + hexes)
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing(spark):
+    """All contexts are given one gram hash, whatever their bytes, and are cut down to parts of three."""
+    rng = random.Random(4)
+    half = bytes(rng.randrange(97, 123) for _ in range(300))
+    contexts = [bytes(rng.randrange(97, 123) for _ in range(40)) + half[i % 7 :] + bytes(rng.randrange(97, 123) for _ in range(60)) for i in range(40)]
+    rows = [(i, 5, 100 + i % 2, 0, len(c) - 200, c) for i, c in enumerate(contexts)]
+    rows = [(i, g, at, max(first, at - 168), min(last, at), c) for i, g, at, first, last, c in rows]
+    rows = [(i, g, at, first, last, c[first : last + 200]) for i, g, at, first, last, c in rows]
+    seen = Counter((at - f - k, c[k : k + 200]) for _, _, at, f, last, c in rows for k in range(last - f + 1))
+    expected = {(i, f + k) for i, _, at, f, last, c in rows for k in range(last - f + 1) if seen[(at - f - k, c[k : k + 200])] > 1}
+    frame = spark.createDataFrame([(*r[:5], bytearray(r[5])) for r in rows], suffix_dedup.CONTEXT)
+    sort = lambda df: df.repartition("gram").sortWithinPartitions("gram").mapInArrow(suffix_dedup._sorted_spans, "row bigint, start bigint, end bigint")
+    for most in (3, 1000):
+        got = {(r["row"], s) for r in suffix_dedup._split_spans(frame, most, sort).collect() for s in range(r["start"], r["end"] - 199)}
+        assert got == expected and expected
+    strangers = [(i, 9, 0, 0, 0, bytes(rng.randrange(256) for _ in range(200))) for i in range(5)]
+    assert suffix_dedup._spans_of(strangers).num_rows == 0
+
+
 def test_anchors_do_not_depend_on_pieces_and_suffixes_sort():
     data = np.frombuffer(prose(800).encode(), dtype=np.uint8)
     whole, parts = suffix_dedup.anchors(data), suffix_dedup.anchors(data, size=100)
