@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -431,6 +432,79 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_html_article_inside_wrappers(spark):
+    article = "<article><p>One short text.</p></article>"
+    around = [
+        '<div class="content-sidebar-wrap">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="has-sidebar">{}</div>', '<div class="search"><div>{}</div></div>',
+        '<article class="post tag-privacy category-social"><p>One short text.</p></article>', '<body class="sidebar ad">{}', "<header>{}</header>",
+        '<form><p>One short text.</p><article><div class="ad">No</div></article></form><nav>No</nav><article></article>',
+    ]
+    without = [
+        "<nav>{}</nav>", '<div class="comments">{}</div>', '<section id="comment-list"><div>{}</div></section>', '<article class="comment">No</article>', "<aside>{}</aside>",
+        '<div class="share-buttons sidebar">{}</div>', '<article><div class="post-comments"><p>I have read it all and I do not think that a word of it is true, but it is well written</p></div></article>',
+        "<footer><p>" + "many words " * 40 + "</p></footer>", '<div id="cookieNotice">' + "many words " * 40 + "</div>", '<form class="newsletter">' + "many words " * 40 + "</form>",
+    ]
+    pages = [(i, page.format(article)) for i, page in enumerate(around + without)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id int, html string"), ["page_id"]).collect()}
+    wrapper = len(around) - 1
+    assert {i: t for i, t in got.items() if i < wrapper} == {i: "One short text." for i in range(wrapper)}
+    assert {i: t for i, t in got.items() if i >= len(around)} == {i: "" for i in range(len(around), len(pages))}
+    assert html_text.blocks(pages[wrapper][1])[0]["mark"] == 0 and [b["mark"] for b in html_text.blocks(pages[wrapper][1])[1:]] == [-1, -1]
+
+
+def test_html_unmarked_pages_go_by_words_and_links(spark):
+    """Without any container the block and its neighbours decide."""
+    long = "This paragraph has no link in it and is long enough to be read as the text of a page by anybody who comes along here."
+    teaser = f"<div><a href=/x>{long}</a></div>"
+    page = f"<body><div><a href=/a>Home</a></div><div><a href=/b>News</a></div><div><p>{long}</p><p>It is short.</p><p>{long}</p></div>{teaser}{teaser}<div>Menu</div><div><a href=/c>Next</a></div></body>"
+    made = html_text.extract(spark.createDataFrame([(1, page), (1, page)], "page_id int, html string"), ["page_id"]).collect()
+    assert [r["text"] for r in made] == [f"{long}\n\nIt is short.\n\n{long}"] * 2
+
+
+def test_html_tree_asks_links_and_neighbours(spark):
+    tree = html_text.fit_tree(html_text.labelled_blocks(spark))
+    asked = set()
+
+    def walk(node):
+        if node.subtreeDepth():
+            asked.add(html_text.FEATURES[node.split().featureIndex()])
+            walk(node.leftChild())
+            walk(node.rightChild())
+
+    walk(tree)
+    assert "links" in asked and "words" in asked and asked & {"words_before", "links_before", "words_after", "links_after"}
+
+
+def test_html_broken_markup_takes_linear_time():
+    pages = ['<a title="x>hello</p> ' * 50_000, "<a \"x ' href='>b" * 60_000, "<div>" * 200_000 + "x", "<svg><button>x" * 70_000, "<a " * 300_000, "<p>" + "<span>" * 50_000 + "</p><td></td>" * 50_000]
+    for page in pages:
+        start = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_html_text_of_written_pages(spark, seed):
+    """Pages written from their parts, so that the main text is known: the parts that are not main text never show, the others all do."""
+    rng = random.Random(seed)
+    rest = ["<nav><ul><li><a href=/>{}</a></li></ul></nav>", '<div class="ad">{}</div>', "<!-- {} -->", "<script>var a='<p>{}</p>'</script>", "<aside><p>{}</p></aside>", '<div class="site-notice">{}</div>', "<form><label>{}</label></form>"]
+    pages, texts = [], []
+    for i in range(30):
+        parts, main = [], []
+        for _ in range(rng.randint(0, 12)):
+            words = prose(rng.randint(1, 40), rng)
+            if rng.random() < 0.4:
+                parts.append(rng.choice(rest).format(words))
+            else:
+                tag = rng.choice(["p", "h2", "div", "blockquote", "li"])
+                parts.append(f"<{tag}>" + words.replace(" ", rng.choice([" ", "\n ", "&#32;", "&nbsp; ", "<br>"]), 1) + f" &amp;</{tag}>")
+                main.append(words + " &")
+        pages.append((i, "<html><body>" + rng.choice(rest).format("x y") + "<article>" + "".join(parts) + "</article><footer>" + prose(30, rng) + "</footer></body></html>"))
+        texts.append("\n\n".join(main))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id int, html string"), ["page_id"]).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_html_tree_fits_its_table(spark):
     labelled = html_text.labelled_blocks(spark)
     tree = html_text.fit_tree(labelled)
