@@ -1,12 +1,13 @@
 """Token counts kept in a digest cache.
 
-A text is named by the SHA-256 of its content (null counts as the empty text) and a tokenizer by the SHA-256 of its
-file, so a count is stored once for each pair, whatever rows it came from.  A run joins the digests of its texts to
-the cache, encodes one row for each digest that is missing, appends these counts, and joins the counts to
-all rows.  Only digests travel in the joins of copies; a text travels once, and a digest that a third of all rows
-share is spread by the row id beside it and reduced to one row on the map side.
-
-Repeated rows each get their own result row.  Null ids are kept.  An empty table appends nothing.  Only the id column is kept, so other
+A text is named by the SHA-256 of its normalised content (null becomes the empty text; nothing else may change, because the count is that of the text as it
+stands) and a tokenizer by the SHA-256 of its file, so a count is stored once for each pair, whatever rows it came from.  A run brings its texts
+down to one for each digest, joins these to the cache, encodes the digests that are missing, appends their counts, and joins the counts to
+all rows.  No id takes part, so equal and null ids make no difference; a digest that a third of all rows share is reduced to one text on
+the map side, and in the join of copies only digests travel.
+
+Repeated rows each get their own result row.  Null ids are kept.  Empty texts have no tokens; a long text is encoded whole, in one call of the library.  An empty
+table appends nothing.  Only the id column is kept, so other
 columns cannot clash.  The cache is a Parquet folder that any later run may use again; an append that is
 repeated after a failure only doubles equal rows, which the reader reduces.
 """
@@ -65,16 +66,9 @@ def count_tokens(docs: DataFrame, model_file: str, cache: str, id_column: str =
     rows = docs.select(F.col(f"`{id_column}`").alias("_id"), body.alias("_text")).withColumn("_content", _digest(F.col("_text")))
     digests = materialize(rows.select("_id", "_content", F.octet_length("_text").cast("bigint").alias("n_bytes")), "digests")
 
-    # A missing digest is encoded from the row of its smallest id.  Both are in the join key, so copies of one text do not meet.
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    missing = (
-        digests.join(known, digests["_content"] == known["content"], "left_anti")
-        .groupBy("_content").agg(F.min("_id").alias("_first"))
-        .hint("shuffle_hash")
-    )
-    chosen = rows.alias("r").join(
-        missing.alias("m"), (F.col("r._content") == F.col("m._content")) & F.col("r._id").eqNullSafe(F.col("m._first")), "left_semi"
-    )
+    different = rows.groupBy("_content").agg(F.first("_text").alias("_text"))
+    chosen = different.join(known, different["_content"] == known["content"], "left_anti")
 
     def convert():
         library = processor(model_file)

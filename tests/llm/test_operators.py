@@ -79,11 +79,8 @@ def test_token_counts_and_cache(spark):
     rows = token_counts.count_tokens(docs, PIECE_MODEL, cache).collect()
     assert len(rows) == docs.count()
     library = token_counts.processor(PIECE_MODEL)
-    by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
-    for i, text in enumerate(texts):
-        if i not in (0, 1, 2):
-            assert by_id[i]["n_tokens"] == len(library.encode(text or ""))
-            assert by_id[i]["n_bytes"] == len((text or "").encode())
+    texts_of = [(i, t or "") for i, t in [*enumerate(texts), *enumerate(texts[3:6]), (None, "Hello World")]]
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows) == Counter((i, len(t.encode()), len(library.encode(t))) for i, t in texts_of)
     stored = token_counts.read_cache(spark, cache)
     digests = stored.select("content").distinct().count()
     assert digests == len({hashlib.sha256((t or "").encode()).digest() for t in texts})
@@ -93,6 +90,19 @@ def test_token_counts_and_cache(spark):
     assert token_counts.count_tokens(empty(spark), PIECE_MODEL, token_counts.new_cache(spark)).count() == 0
 
 
+def test_a_digest_is_encoded_once_whatever_its_ids(spark):
+    """Fifty rows without an id, fifty with one id, and repeated rows; a cache that knows some of the texts is only added to."""
+    rows = [(None, "one text", *"abcd", 1)] * 50 + [(7, "one text", *"abcd", 1)] * 50 + [(None, None, *"abcd", 1), (None, "", *"abcd", 1), (7, "another", *"abcd", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cache = token_counts.new_cache(spark)
+    assert token_counts.count_tokens(docs.limit(1), PIECE_MODEL, cache).count() == 1
+    made = token_counts.count_tokens(docs, PIECE_MODEL, cache)
+    library = token_counts.processor(PIECE_MODEL)
+    expected = Counter((r[0], len((r[1] or "").encode()), len(library.encode(r[1] or ""))) for r in rows)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in made.collect()) == expected
+    assert token_counts.read_cache(spark, cache).count() == 3
+
+
 # URL filter
 
 
