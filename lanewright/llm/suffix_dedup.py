@@ -45,6 +45,7 @@ MOST_IN_GROUP = 20_000
 BAND_BITS = 8
 #: Contexts in one Arrow batch.
 BATCH_CONTEXTS = 4096
+BATCH_ANCHORS = 50_000
 #: Contexts sorted at once, and string starts hashed at once (the arrays of a piece stay in a core's cache).
 SORTED_AT_ONCE = 8192
 PIECE = 1 << 15
@@ -99,18 +100,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, size: int
     for start in range(0, max(last, 0), size):
         stop = min(start + size, last)
         part = data[start : stop + length - 1]
-        places = np.arange(len(part) - gram + 1)
         hashed = Hashes(part).grams(gram)
-        order = ((hashed * ORDER) & ~WINDOW_MASK) | places.astype(np.uint64)
-        padded = np.full(-(-len(order) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-        padded[: len(order)] = order
-        table = padded.reshape(-1, width)
-        forward = np.minimum.accumulate(table, axis=1).ravel()
-        backward = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.arange(stop - start)
-        smallest = (np.minimum(backward[starts], forward[starts + width - 1]) & WINDOW_MASK).astype(np.int64)
+        # Minima of spans that double in length, and of two spans that cover the width.
+        smallest = ((hashed * ORDER) & ~WINDOW_MASK) | np.arange(len(hashed), dtype=np.uint64)
+        starts, span = stop - start, 1
+        while 2 * span <= width:
+            smallest = np.minimum(smallest[:-span], smallest[span:])
+            span *= 2
+        smallest = np.minimum(smallest[:starts], smallest[width - span : width - span + starts])
+        smallest = (smallest & WINDOW_MASK).astype(np.int64)
         first = np.flatnonzero(np.diff(smallest, prepend=-1))
-        end = np.append(first[1:], len(starts)) - 1
+        end = np.append(first[1:], starts) - 1
         at = smallest[first]
         found.append((_mix(hashed[at]).view(np.int64), at + start, first + start, end + start))
     return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 4
@@ -132,12 +132,22 @@ def _unpack(body: bytes) -> bytes:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of several texts in one batch, which is sent when it has ``BATCH_ANCHORS`` rows or more."""
     for batch in batches:
+        held, size = [], 0
         for row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             columns = anchors(_array(_unpack(body)))
-            if len(columns[0]):
-                rows = np.full(len(columns[0]), row, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, *columns)], names=["row", "gram", "at", "first", "last"])
+            held.append([np.full(len(columns[0]), row, dtype=np.int64), *columns])
+            size += len(columns[0])
+            if size >= BATCH_ANCHORS:
+                yield _joined(held)
+                held, size = [], 0
+        if size:
+            yield _joined(held)
+
+
+def _joined(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["row", "gram", "at", "first", "last"])
 
 
 CONTEXT = "row bigint, gram bigint, at bigint, first bigint, last bigint, context binary"
@@ -152,11 +162,15 @@ def _context_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        held = []
         for row, body, marks in zip(*(batch.column(i) for i in range(3))):
             row, text, marks = row.as_py(), _unpack(body.as_py()), marks.as_py()
-            for i in range(0, len(marks), BATCH_CONTEXTS):
-                part = marks[i : i + BATCH_CONTEXTS]
-                yield from _context_rows([(row, m["gram"], m["at"], m["first"], m["last"], text[m["first"] : m["last"] + LENGTH]) for m in part])
+            for m in marks:
+                held.append((row, m["gram"], m["at"], m["first"], m["last"], text[m["first"] : m["last"] + LENGTH]))
+                if len(held) == BATCH_CONTEXTS:
+                    yield from _context_rows(held)
+                    held = []
+        yield from _context_rows(held)
 
 
 def halves(row: int, at: int, first: int, last: int, context: bytes, bits: int) -> Iterator[tuple]:
