@@ -7,11 +7,12 @@ agree in ``least`` of the coordinates (all but one chance in a million, see ``le
 Postings of one class need no merge, so a text without a neighbour leaves the join at once, and a value that a third of all texts share is
 never in a prefix unless the rest of the signature is as common.
 
-Classes that share a posting of their prefixes are gathered into clusters by connected components, with edges to the
-smallest class of a list only, never all pairs.  Inside a cluster the collisions are counted, pairs under ``least``
-are dropped, pairs that are already connected are skipped, and the others are confirmed on the full sets (of 64-bit
-shingle hashes).  A cluster that is too large for a task is cut into blocks, and every pair of blocks is a task of its own, so no candidate is lost
-and no task holds more than two blocks.  A task returns a spanning forest of its links, which has the same components as all links.
+The merge reads each posting list of the prefixes with the signatures of its classes, counts the collisions of its pairs and keeps those of ``least`` or more.
+A list gives a spanning forest of the pairs it keeps, never all of them, and one of more than ``LIST_ROWS`` classes is cut into blocks, every two of which meet in
+a task.  Texts that only share passages drop out here, before any set travels.  The kept pairs are gathered into clusters by connected components.  Inside a cluster pairs that are
+already connected are skipped, and the others are confirmed on the full sets (of 64-bit shingle hashes).  A cluster that is too large for a task is
+cut into blocks, and every pair of blocks is a task of its own, so no candidate is lost and no task holds more than two blocks.  A task returns a spanning forest of its links,
+which has the same components as all links.
 
 Words are runs of other bytes than space and 0x09-0x0D, A-Z lower-cased.  Null and empty texts have no set and are linked with nothing.
 Rows are numbered once, and linked, judged and dropped by that number: an id may repeat, and be of any type that has an order.  A component is named by its smallest id, null if it has none.
@@ -39,6 +40,9 @@ COORDINATES = 32
 #: A block of a large cluster holds at most about so many texts, and so many shingles.
 BLOCK_TEXTS = 2048
 BLOCK_SHINGLES = 3_000_000
+#: A block of a long posting list holds about so many classes; lists of at most ``SHORT_LIST`` are compared many at a time.
+LIST_ROWS = 4096
+SHORT_LIST = 16
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
 
@@ -152,6 +156,85 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
+class Forest:
+    """Joins nodes, and tells whether they were apart."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.root(x), self.root(y)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _alike(signs: np.ndarray, sizes: np.ndarray, a: np.ndarray | int, b: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Whether rows ``a`` (or one row) and rows ``b`` collide in ``least`` coordinates or more, and are near enough in size."""
+    fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    return fits & ((signs[a] == signs[b]).sum(axis=1) >= least)
+
+
+def list_pairs(lists: np.ndarray, sizes: np.ndarray, signs: np.ndarray, percent: int, least: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of one list (equal neighbours in ``lists``) that are alike: the same components as all such pairs."""
+    starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
+    lengths = np.diff(np.concatenate((starts, [len(lists)])))
+    short = np.repeat(lengths <= SHORT_LIST, lengths)
+    for apart in range(1, min(SHORT_LIST, len(lists))):
+        a = np.flatnonzero(short[:-apart] & (lists[apart:] == lists[:-apart]))
+        if not len(a):
+            break
+        a = a[_alike(signs, sizes, a, a + apart, percent, least)]
+        yield from zip(a.tolist(), (a + apart).tolist())
+    for start, length in zip(starts[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST]):
+        # A class that was reached is never compared again, so a list of near copies takes little more than one pass.
+        rest = np.arange(start, start + length)
+        while len(rest) > 1:
+            reached, rest = [rest[0]], rest[1:]
+            while reached and len(rest):
+                x = reached.pop()
+                hit = _alike(signs, sizes, x, rest, percent, least)
+                reached.extend(rest[hit])
+                yield from ((int(x), int(y)) for y in rest[hit])
+                rest = rest[~hit]
+
+
+def _count_task(percent: int, least: int):
+    """Over rows sorted by list: the kept pairs of a task's lists, without those that its earlier ones connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        held: list[pa.RecordBatch] = []
+
+        def judged(table: pa.Table, n: int) -> pa.RecordBatch:
+            lists = table.column("list").to_numpy()[:n]
+            reps, sizes = table.column("rep").to_numpy()[:n], table.column("n").to_numpy()[:n]
+            signs = table.column("sign").slice(0, n).combine_chunks().flatten().to_numpy().reshape(n, COORDINATES)
+            found = [(int(reps[a]), int(reps[b])) for a, b in list_pairs(lists, sizes, signs, percent, least) if forest.join(int(reps[a]), int(reps[b]))]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 2 * LIST_ROWS:
+                table = pa.Table.from_batches(held)
+                lists = table.column("list").to_numpy()
+                whole = int(np.argmax(lists == lists[-1]))  # the last list may go on in the next batch
+                if whole:
+                    yield judged(table, whole)
+                    held = table.slice(whole).combine_chunks().to_batches()
+        if held and sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held)
+            yield judged(table, table.num_rows)
+
+    return run
+
+
 def cluster_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int, least: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between texts; ``sides`` 0 and 1: only pairs across, all 2: every pair."""
     g = len(ids)
@@ -218,6 +301,19 @@ def _link_task(percent: int, least: int):
     return run
 
 
+def counted_pairs(prefix: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
+    """``a`` and ``b``: pairs of classes that share a posting of their prefixes and collide in ``least`` coordinates or more, connected as by all such pairs."""
+    lists = prefix.groupBy("token").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1")
+    posted = prefix.join(lists.drop("size"), "token").join(classes.select("rep", "n", "sign").hint("shuffle_hash"), "rep")
+    posted = posted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # Blocks of a long list meet two by two; their inner pairs are found wherever they meet.
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    met = posted.withColumn("other", F.explode(others)).select(
+        F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "rep", "n", "sign"
+    )
+    return met.repartition("list").sortWithinPartitions("list", "rep").mapInArrow(_count_task(percent, least), "a bigint, b bigint")
+
+
 def _judged(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFrame:
     """Per row of ``numbered``: ``id`` (the number of the row), ``doc`` (its id), ``n``, ``component`` and ``kept``."""
     least = least_matches(percent / 100)
@@ -238,8 +334,7 @@ def _judged(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFra
         "place": F.row_number().over(by_rep.orderBy("size", "token")), "alone": F.lit(COORDINATES) - F.count("*").over(by_rep),
     }).filter(F.col("place") + F.col("alone") <= COORDINATES - least + 1)
     prefix = materialize(rarest.select("rep", "token"), "prefix")
-    lists = prefix.groupBy("token").agg(F.min("rep").alias("first"))
-    clusters = components(prefix.join(lists, "token").select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    clusters = components(materialize(counted_pairs(prefix, classes, percent, least), "counted"))
 
     member = classes.select("rep", "key", "n").join(clusters, F.col("rep") == F.col("node")).select("rep", "key", "n", F.col("root").alias("cluster"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES))

@@ -200,12 +200,52 @@ def test_near_duplicates(spark, percent, monkeypatch):
     rows = near_dedup.near_components(docs, percent).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in rows} == dict(enumerate(zip(want, sizes)))
     monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(near_dedup, "LIST_ROWS", 2)
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs, percent).collect()} == dict(enumerate(want))
     kept = near_dedup.drop_near_duplicates(docs.union(spark.createDataFrame([(None, texts[6], *"abcd", 1)], SCHEMA)), percent)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want)), "the row without an id belongs to a group that has one"
 
 
+def test_collisions_of_posting_lists_are_counted_as_by_all_pairs():
+    rng = np.random.default_rng(4)
+    least, lists, signs = 20, [], []
+    for number, size in enumerate([1, 2, 2, 3, 16, 17, 40, 90, 1]):
+        bases = rng.integers(0, 1 << 31, (4, near_dedup.COORDINATES), dtype=np.int32)
+        for _ in range(size):
+            row = bases[rng.integers(4)].copy()
+            row[rng.permutation(near_dedup.COORDINATES)[: rng.integers(0, 12)]] = rng.integers(0, 1 << 31)
+            lists.append(number), signs.append(row)
+    lists, signs, sizes = np.array(lists), np.stack(signs), rng.integers(80, 100, len(signs))
+    want, got = near_dedup.Forest(), near_dedup.Forest()
+    wanted = 0
+    for a, b in itertools.combinations(range(len(lists)), 2):
+        if lists[a] == lists[b] and (signs[a] == signs[b]).sum() >= least and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b]):
+            wanted += want.join(a, b)
+    pairs = list(near_dedup.list_pairs(lists, sizes, signs, 85, least))
+    assert sum(got.join(a, b) for a, b in pairs) == wanted > 50
+    assert all(want.root(a) == want.root(b) for a, b in pairs)
+    assert list(near_dedup.list_pairs(lists[:1], sizes[:1], signs[:1], 85, least)) == []
+
+
+def test_texts_that_only_share_passages_make_no_cluster(spark, monkeypatch):
+    rng = random.Random(21)
+    pool = [prose(60, rng) for _ in range(60)]
+    docs = table(spark, ["\n".join(rng.sample(pool, 4)) for _ in range(500)])
+    counted, real = [], near_dedup.counted_pairs
+
+    def spy(prefix, *rest):
+        found = real(prefix, *rest)
+        counted.append((prefix.select("rep").distinct().count(), components(found).groupBy("root").count().agg(F.max("count")).first()[0]))
+        return found
+
+    monkeypatch.setattr(near_dedup, "counted_pairs", spy)
+    rows = near_dedup.near_components(docs, 85).collect()
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == list(range(500))
+    sharing, largest = counted[0]
+    assert sharing > 450 and (largest or 0) < 50
+
+
 def test_near_duplicates_under_null_and_repeated_ids(spark):
     rng = random.Random(12)
     bases = [prose(100, rng) for _ in range(4)]
