@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lanewright import policy as P
 from lanewright.functions import text
 from lanewright.functions.numbers import rnd, rnd_total
-from lanewright.operators import capacity, options, prepare, profile, reports, roi
+from lanewright.operators import capacity, gram, options, prepare, profile, reports, roi
 from lanewright.plans.joins import POSITIVE_SQL
 from lanewright.plans.registry import money, query, rounded as R
 
@@ -259,6 +259,16 @@ def correlation_matrix(t):
     return profile.correlation_matrix(t("cargo"), CORR).select("a", "b", rnd_total(F.col("corr"), 6).alias("corr"))
 
 
+CORR_WIDE = [*CORR, "supplier_ontime_rate", "port_congestion", "holiday_impact", "temperature_sensitive", "fragile"]
+
+
+@query("correlation_wide", f"with c as materialized (select {', '.join(CORR_WIDE)} from {{cargo}}) " + " union all ".join(
+    f"select '{a}' as a, '{b}' as b, regr_count({a}, {b})::bigint as n, {R(f'corr({a}, {b})', 6)} as corr from c"
+    for i, a in enumerate(CORR_WIDE) for b in CORR_WIDE[i + 1:]))
+def correlation_wide(t):
+    return gram.correlation_wide(t("cargo"), CORR_WIDE).withColumn("corr", rnd_total(F.col("corr"), 6))
+
+
 @query("histogram", """
 select cast(least(floor((distance - lo) / (hi - lo) * 30), 29) as bigint) as bin, count(*) as n
 from {cargo}, (select min(distance) as lo, max(distance) as hi from {cargo}) m group by 1""")

@@ -340,6 +340,11 @@ def assignment_results(t):
     return joint.assignment_results(full_tier(t)[1].choice)
 
 
+@query("assignment_totals")
+def assignment_totals(t):
+    return joint.batch_result(joint.assignment_results(full_tier(t)[1].choice))
+
+
 @query("constraint_utilization")
 def constraint_utilization(t):
     budget, carbon = _limits(t)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lanewright.operators import allocate, profile, ranking, sets
+from lanewright.operators import allocate, gram, profile, ranking, sets
 from lanewright.operators.ordered import running_totals
 from lanewright.operators.quantiles import exact_quantiles
 
@@ -110,3 +110,25 @@ def test_profile_matches_pandas(spark):
     assert got["x"]["skewness"] == pytest.approx(s.skew(), abs=1e-4) and got["x"]["std"] == pytest.approx(s.std(), abs=1e-4)
     assert got["x"]["median"] == pytest.approx(s.median(), abs=1e-4) and got["x"]["unique_count"] == s.nunique()
     assert got["s"]["missing_count"] == 34 and got["s"]["unique_count"] == 3 and got["s"]["mean"] is None
+
+
+def test_correlations_of_500_columns_with_gaps(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 500)) + rng.normal(size=(80, 1))
+    x[:, 1] = x[:, 0] * 3 + 1e9
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 2], x[:, 3], x[1:, 4], x[0, 5] = 7.0, np.nan, np.nan, np.inf
+    names = [f"c {i}" for i in range(500)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"`{c}` double" for c in names)).repartition(3)
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in gram.correlation_wide(df, names).collect()}
+    assert len(got) == 500 * 499 // 2
+    for i, j in [(0, 1), (1, 2), (2, 7), (3, 9), (4, 9), (5, 6), *[sorted(rng.choice(np.arange(5, 500), 2, replace=False)) for _ in range(3000)]]:
+        pair = x[:, [i, j]][np.isfinite(x[:, [i, j]]).all(axis=1)]
+        n, corr = got[names[i], names[j]]
+        assert n == len(pair)
+        if n < 2 or (pair == pair[0]).all(axis=0).any():
+            assert corr is None
+        else:
+            assert corr == pytest.approx(np.corrcoef(pair.T)[0, 1], abs=1e-6 if 1 in (i, j) else 1e-9)
+    none = gram.correlation_wide(df.filter("false"), names[:3]).collect()
+    assert [(r["n"], r["corr"]) for r in none] == [(0, None)] * 3 and gram.correlation_wide(df, names[:1]).count() == 0
