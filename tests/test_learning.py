@@ -60,6 +60,26 @@ def test_preparation_is_fitted_once_and_reused(spark, cargo):
         prepare.preprocess_fit(cargo.drop("distance"))
 
 
+def test_flat_columns_are_found_by_one_vector_aggregate(spark):
+    rows = spark.createDataFrame([(1.0, 2, 5.0, None, 0), (1.0, 3, None, 4.0, 0), (1.0, 2, 5.0, 6.0, 0)], "a double, b int, c double, d double, e int")
+    assert prepare.zero_variance_dense(rows, rows.columns) == prepare.zero_variance(rows, rows.columns) == ["a", "c", "e"]
+    assert prepare.zero_variance_dense(rows.limit(1), ["a", "b"]) == prepare.zero_variance(rows.limit(1), ["a", "b"]) == []
+
+
+def test_the_preparation_deals_its_input_out(spark, monkeypatch):
+    modelling._PREPARED.clear()
+    seen = {}
+
+    def stop(df, label="stage"):
+        seen[label] = df._jdf.queryExecution().analyzed().toString()
+        raise InterruptedError
+
+    monkeypatch.setattr(modelling, "materialize", stop)
+    with pytest.raises(InterruptedError):
+        modelling.prepared(Inputs(spark, SF))
+    assert "RepartitionByExpression" in seen["cargo"]
+
+
 def test_classifier_passes_the_gate_on_separable_rows(spark, tmp_path):
     rows = spark.range(2000).select(
         F.col("id").cast("string").alias("k"), (F.xxhash64("id") % 1000 / 1000.0).alias("a"), (F.xxhash64(F.col("id") + 7) % 1000 / 1000.0).alias("b")
