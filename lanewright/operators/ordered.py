@@ -31,9 +31,10 @@ def running_totals(
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(groups)
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    keys = [f"_o{i}" for i in range(len(order))]
-    keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys)])
+    # A column that the rows have is not carried a second time; with it, branches that read the totals twice ask for the same columns and share the shuffle.
+    keys = [c if isinstance(c, str) and c in df.columns else f"_o{i}" for i, c in enumerate(order)]
+    made = [(F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(order, keys) if k not in df.columns]
+    keyed = df.select("*", *made)
     ranged = keyed.repartitionByRange(slices, *groups, *keys).withColumn("_slice", F.spark_partition_id())
     ranged = materialize(ranged, "running")
 

@@ -132,3 +132,17 @@ def test_correlations_of_500_columns_with_gaps(spark):
             assert corr == pytest.approx(np.corrcoef(pair.T)[0, 1], abs=1e-6 if 1 in (i, j) else 1e-9)
     none = gram.correlation_wide(df.filter("false"), names[:3]).collect()
     assert [(r["n"], r["corr"]) for r in none] == [(0, None)] * 3 and gram.correlation_wide(df, names[:1]).count() == 0
+
+
+def test_running_totals_carry_an_order_column_once(spark, monkeypatch):
+    from lanewright.operators import ordered
+
+    written = []
+    keep = ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, label="stage": written.append(df.columns) or keep(df, label))
+    rows = spark.createDataFrame([("a", 2.0, 5), ("b", 1.0, 7), ("c", 2.0, 1)], "id string, cost double, units int")
+    found = ordered.running_totals(rows, ["cost", "id"], ["units"])
+    assert written == [["id", "cost", "units", "_slice"]] and found.columns == [*rows.columns, "units_before"]
+    assert {(r["id"], r["units_before"]) for r in found.collect()} == {("b", 0), ("a", 7), ("c", 12)}
+    turned = ordered.running_totals(rows, [-F.col("cost"), "id"], ["units"])
+    assert {(r["id"], r["units_before"]) for r in turned.collect()} == {("a", 0), ("c", 5), ("b", 6)}
