@@ -176,3 +176,19 @@ def test_joint_choice_under_a_binding_carbon_limit(spark):
 def test_joint_choice_reports_an_impossible_budget(spark):
     row = joint.joint_assign(_fake(spark, 6, 4), _caps(spark, 1e9, 1e9), 1.0, 1e12, improve_rounds=0).summary.first()
     assert row["status"] == "Infeasible" and row["spent"] > 1.0
+
+
+def test_capacities_that_come_with_the_terms_act_like_a_join_of_the_offers(spark, refs):
+    rows = ship(spark, {}, {"units": 9}, {"units": 3, "expected_delay_days": 4.0}, {"supplier_id": 2, "product_category": None}, {"warehouse": None}, {"delay_probability": 0.4})
+    types = "resource_type string, resource_key string, capacity double"
+    for kept in ([], ["supplier"], ["inventory", "production"], ["transport_mode", "supplier", "inventory", "production"]):
+        keys = {"transport_mode": "Air", "supplier": "90001", "inventory": "W1|Toys", "production": "P1"}
+        caps = spark.createDataFrame([(k, keys[k], v) for k in kept for v in (1.0, 2.5)], types)
+        made = options.with_options(rows, refs, capacities=caps)
+        assert set(options.ROOMS.values()) <= set(made.columns)
+        want = options.recommend_each(options.with_options(rows, refs), 1e12, 1e12, caps)
+        got = options.recommend_each(made, 1e12, 1e12)
+        assert got.collect() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        if kept:
+            room = {r["shipment_id"]: r for r in made.collect()}["S0"]
+            assert all(room[options.ROOMS[{"transport_mode": 0, "supplier": 3, "inventory": 4, "production": 5}[k]]] == 3.5 for k in kept)
