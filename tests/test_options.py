@@ -55,6 +55,20 @@ def test_every_option(spark, refs):
     assert {k[1] for k in got if k[0] == "S2"} == {"Air_Freight", "Rail_Freight", "Sea_Freight", "Delay_Launch"}
 
 
+@pytest.mark.parametrize("made", [options.cheapest_option, options.effective_cost, options.argmin_option])
+def test_options_are_chosen_without_interpreted_functions(spark, refs, made):
+    df = made(options.with_options(ship(spark, {}, {"supplier_id": 2}), refs))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_first_of_equal_options_stays(spark, refs):
+    # No lane, no stock, no line: what is left at zero lateness and zero cost comes in list order.
+    rows = ship(spark, {"purchase_order_value": 0.0, "expected_delay_days": 0.0}, {"product_category": "Food", "supplier_id": 2, "supplier_country": "Z"})
+    made = options.with_options(rows, refs)
+    got = {r["shipment_id"]: (r["option_name"], r["cost_usd"]) for r in options.cheapest_option(made).collect()}
+    assert got == {"S0": ("Secondary_Supplier", 0.0), "S1": ("Delay_Launch", 1000.0)}
+
+
 def test_cheapest_prefers_the_bound_then_falls_back(spark, refs):
     made = options.with_options(ship(spark, {}, {"expected_delay_days": 60.0, "supplier_country": "Z", "supplier_id": 2}), refs)
     got = {r["shipment_id"]: r["option_name"] for r in options.cheapest_option(made).collect()}
