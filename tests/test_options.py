@@ -187,6 +187,22 @@ def test_joint_choice_under_a_binding_carbon_limit(spark):
     assert results.count() == 30 and joint.batch_result(results).first()["shipments"] == 30
 
 
+def test_rounds_of_the_joint_choice_carry_numbers_only(spark, monkeypatch):
+    """Offers and keys stay in the first table: what is written round after round has neither arrays nor strings."""
+    seen, write = {}, joint.materialize
+
+    def watched(df, label="stage"):
+        seen.setdefault(label, set()).update(t for _, t in df.dtypes)
+        return write(df, label)
+
+    monkeypatch.setattr(joint, "materialize", watched)
+    found = joint.joint_assign(_fake(spark, 12, 5), _caps(spark, 60.0, 10.0), 1e12, 1e12, price_rounds=1, improve_rounds=1)
+    assert found.choice.count() == 12
+    rounds = set(seen) - {"offers", "rooms", "choice"}
+    assert {"curve", "prices", "ladders", "picks", "wishes"} <= rounds
+    assert set().union(*[seen[label] for label in rounds]) <= {"int", "bigint", "double"}
+
+
 def test_joint_choice_reports_an_impossible_budget(spark):
     row = joint.joint_assign(_fake(spark, 6, 4), _caps(spark, 1e9, 1e9), 1.0, 1e12, improve_rounds=0).summary.first()
     assert row["status"] == "Infeasible" and row["spent"] > 1.0
