@@ -148,6 +148,24 @@ def test_timed_stream_in_any_order_equals_batch(spark, tmp_path, with_resets):
     assert sorted(map(tuple, got.select("node", "batch_id", "error_rate", "state", "reset_epoch").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_nodes_that_share_a_state_keep_their_own_books(spark, tmp_path, monkeypatch):
+    """Calls of a state do not grow with the nodes: 41 nodes lie in two states, and each gives the rows of the batch evaluation."""
+    monkeypatch.setattr(live, "SHELVES", 2)
+    rnd = random.Random(13)
+    schema = "id long, node string, day long, bad boolean, at string"
+    rows = [(i, f"n{i % 41}", d, bad, at) for i, _, d, bad, at in day_rows(rnd, per_day=200)]
+    for part in range(6):  # a day a file: batches are closed while others come in
+        spark.createDataFrame(rows[part * 200 : part * 200 + 200], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    policy = BreakerPolicy(threshold=8.0, base_total=10, base_errors=0)
+    stream = live.read_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    evaluated = live.evaluate_timed_stream(live.timed_counts(stream, *timed_columns()), "1 day", policy)
+    got = live.latest(live.run_to_table(evaluated, "shelves"), ["node", "batch_id"])
+    counts = breaker.batch_counts(spark.createDataFrame(rows, schema), "node", "day", F.col("bad"))
+    want = breaker.breaker_states(counts, policy).select("node", "batch_id", "error_rate", "state")
+    assert sorted(map(tuple, got.select("node", "batch_id", "error_rate", "state").collect())) == sorted(map(tuple, want.collect()))
+    assert "shelf" in evaluated._jdf.queryExecution().analyzed().toString()
+
+
 def test_live_routes_wait_for_their_batch(spark, tmp_path):
     rnd = random.Random(9)
     rows, schema = day_rows(rnd), "id long, node string, day long, bad boolean, at string"
