@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewright.functions import features as X
-from lanewright.operators import learn, metrics, prepare
+from lanewright.operators import learn, metrics, prepare, quantiles
 from lanewright.plans import choice, modelling
 from lanewright.plans.bindings import bind
 from lanewright.plans.registry import Inputs
@@ -80,6 +80,49 @@ def test_the_preparation_deals_its_input_out(spark, monkeypatch):
     assert "RepartitionByExpression" in seen["cargo"]
 
 
+def test_the_dealt_input_fills_whole_waves_of_cores(spark):
+    rows = Inputs(spark, SF).spread("lineitem", "l_orderkey", "l_linenumber")
+    cores = spark.sparkContext.defaultParallelism
+    waves = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cores)
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == waves * cores and rows.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_the_preparation_leaves_huge_methods_to_compiled_projections(spark, monkeypatch):
+    modelling._PREPARED.clear()
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+
+    def stop(df, label="stage"):
+        raise InterruptedError
+
+    monkeypatch.setattr(modelling, "materialize", stop)
+    with pytest.raises(InterruptedError):
+        modelling.prepared(Inputs(spark, SF))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_close_columns_are_found_among_columns_with_gaps(spark):
+    rows = spark.range(400).select(F.col("id").cast("double").alias("a"), (F.col("id") * F.col("id") % 17).alias("b"), F.when(F.col("id") % 5 > 0, -2.0 * F.col("id")).alias("c"))
+    assert prepare.correlated_dense(rows, ["a", "b", "c"]) == prepare.correlated(rows, ["a", "b", "c"]) == ["c"]
+
+
+def test_sketches_are_no_finer_than_a_window_needs(spark, monkeypatch):
+    asked, sketch = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, accuracy: (asked.append(accuracy), sketch(c, p, accuracy))[1])
+    rows = spark.range(60_001).select((F.col("id") * 7 % 60_001).alias("v"), F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.col("id")).alias("w"))
+    found = quantiles.exact_quantiles(rows, ["v", "w"], [0.25, 0.5])
+    assert found["v"] == {0.25: 15_000.0, 0.5: 30_000.0} and found["w"][0.5] == 5.0
+    assert asked and max(asked) < 1_000
+
+
+def test_a_stamp_lists_files_without_reading_them(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").write_bytes(b"no rows to read")
+    t = Inputs(spark, str(tmp_path))
+    before = t.stamp("cargo")
+    (tmp_path / "lineitem.parquet").write_bytes(b"no rows to read either")
+    assert t.stamp("cargo") != before
+
+
 def test_classifier_passes_the_gate_on_separable_rows(spark, tmp_path):
     rows = spark.range(2000).select(
         F.col("id").cast("string").alias("k"), (F.xxhash64("id") % 1000 / 1000.0).alias("a"), (F.xxhash64(F.col("id") + 7) % 1000 / 1000.0).alias("b")
