@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewright.functions import features as X
-from lanewright.operators import learn, metrics, prepare, quantiles
+from lanewright.operators import gram, learn, metrics, prepare, quantiles
 from lanewright.plans import choice, modelling
 from lanewright.plans.bindings import bind
 from lanewright.plans.registry import Inputs
@@ -106,6 +106,15 @@ def test_close_columns_are_found_among_columns_with_gaps(spark):
     assert prepare.correlated_dense(rows, ["a", "b", "c"]) == prepare.correlated(rows, ["a", "b", "c"]) == ["c"]
 
 
+def test_given_centres_spare_the_pass_over_the_means(spark):
+    rows = spark.range(500).select(F.col("id").cast("double").alias("a"), (F.col("id") * 31 % 101 + 1e6).alias("b"), (F.col("id") % 7).alias("c"))
+    count, means, spread = prepare.moments_dense(rows, rows.columns)
+    assert count == 500 and means["a"] == pytest.approx(249.5) and spread["c"] == pytest.approx(rows.agg(F.var_samp("c")).first()[0])
+    made = {(r["a"], r["b"]): r["corr"] for r in gram.correlation_wide(rows, rows.columns, means).collect()}
+    plain = {(r["a"], r["b"]): r["corr"] for r in gram.correlation_wide(rows, rows.columns).collect()}
+    assert made == pytest.approx(plain)
+
+
 def test_sketches_are_no_finer_than_a_window_needs(spark, monkeypatch):
     asked, sketch = [], F.percentile_approx
     monkeypatch.setattr(F, "percentile_approx", lambda c, p, accuracy: (asked.append(accuracy), sketch(c, p, accuracy))[1])
