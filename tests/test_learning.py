@@ -183,3 +183,21 @@ def test_models_are_made_again_when_a_file_changes(spark, tmp_path):
     assert t.stamp("cargo") == before
     rows.limit(60).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
     assert t.stamp("cargo") != before
+
+
+def test_the_search_compares_its_draws_on_all_labelled_rows(spark, monkeypatch):
+    """More rows than the 6,000 on which the draws were once compared."""
+    seen, write = {}, learn.materialize
+
+    def watched(df, label="stage"):
+        made = write(df, label)
+        seen[label] = made.count()
+        return made
+
+    rows = spark.range(7_000).select(F.col("id").cast("string").alias("shipment_id"), (F.col("id") % 3).alias("a"), (F.col("id") % 2).cast("int").alias("delay"))
+    prep = prepare.Preparation(features=["a"])
+    monkeypatch.setattr(modelling, "prepared", lambda t: (prep, rows, None))
+    monkeypatch.setattr(learn, "materialize", watched)
+    monkeypatch.setattr(learn, "search_space", lambda n, seed=42, forest=False: [{"numTrees": 2, "maxDepth": 2}, {"numTrees": 1, "maxDepth": 1}])
+    made = modelling.tune_classifier(Inputs(spark, SF)).collect()
+    assert len(made) == 2 and seen["folds"] == 7_000
