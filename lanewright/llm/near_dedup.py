@@ -304,7 +304,7 @@ def _link_task(percent: int, least: int):
 def counted_pairs(prefix: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
     """``a`` and ``b``: pairs of classes that share a posting of their prefixes and collide in ``least`` coordinates or more, connected as by all such pairs."""
     lists = prefix.groupBy("token").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1")
-    posted = prefix.join(lists.drop("size"), "token").join(classes.select("rep", "n", "sign").hint("shuffle_hash"), "rep")
+    posted = prefix.join(lists.drop("size").hint("merge"), "token").join(classes.select("rep", "n", "sign").hint("shuffle_hash"), "rep")
     posted = posted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Blocks of a long list meet two by two; their inner pairs are found wherever they meet.
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
@@ -328,7 +328,8 @@ def _judged(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFra
     classes = materialize(classes, "classes")
     posts = classes.select("rep", F.posexplode("sign").alias("at", "value")).select("rep", F.xxhash64("at", "value").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    found = posts.join(shared, "token")
+    # Neither side is sent whole: the planner takes the postings for no more than the classes, as if the explode made one row of each.
+    found = posts.join(shared.hint("merge"), "token")
     by_rep = Window.partitionBy("rep")
     rarest = found.withColumns({
         "place": F.row_number().over(by_rep.orderBy("size", "token")), "alone": F.lit(COORDINATES) - F.count("*").over(by_rep),

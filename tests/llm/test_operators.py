@@ -287,6 +287,20 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_postings_are_never_sent_whole(spark, monkeypatch):
+    """An explode makes 32 postings a class, which the planner takes for one row: their joins are not left to its size check."""
+    plans, write = {}, near_dedup.materialize
+
+    def watched(df, label="stage"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(near_dedup, "materialize", watched)
+    texts = [prose(40) for _ in range(30)]
+    assert near_dedup.near_components(table(spark, texts + texts[:5])).count() == 35
+    assert "BroadcastHashJoin" not in plans["prefix"] and "BroadcastHashJoin" not in plans["counted"]
+
+
 def test_word_hashes_do_not_depend_on_pieces():
     text = "Some words\tand\x0bmore é中 " * 50 + "w" * 3000
     for size in (1, 7, 100):
