@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import pytest
@@ -222,3 +223,35 @@ def test_capacities_that_come_with_the_terms_act_like_a_join_of_the_offers(spark
         if kept:
             room = {r["shipment_id"]: r for r in made.collect()}["S0"]
             assert all(room[options.ROOMS[{"transport_mode": 0, "supplier": 3, "inventory": 4, "production": 5}[k]]] == 3.5 for k in kept)
+
+
+def test_the_joint_choice_leaves_only_its_answer_on_disk(spark, monkeypatch):
+    """Every round writes its stages; kept until the end they outgrow the offers themselves."""
+    written, write = [], joint.materialize
+
+    def watched(df, label="stage"):
+        made = write(df, label)
+        written.append((label, made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")))
+        return made
+
+    monkeypatch.setattr(joint, "materialize", watched)
+    found = joint.joint_assign(_fake(spark, 30, 3), _caps(spark, 60.0, 10.0), 1e12, 60.0, price_rounds=2, improve_rounds=2)
+    left = {label for label, path in written if os.path.isdir(path)}
+    assert {"offers", "work", "ladders", "wishes", "picks"} <= {label for label, _ in written}
+    assert "choice" in left and not left & {"offers", "work", "curve", "ladders", "picks", "wishes", "cuts", "spare", "downgraded"}
+    assert found.choice.count() == 30
+
+
+def test_rows_that_were_joined_by_id_are_not_dealt_by_it_again(spark, refs):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    predictions = spark.createDataFrame([("S0", 0.9, 4.0), ("S1", 0.5, 2.0)], "shipment_id string, delay_probability double, expected_delay_days double")
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = options.prediction_join(ship(spark, {}, {}).drop("delay_probability", "expected_delay_days"), predictions)
+        plan = options.with_options(rows, refs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning(shipment_id") == 3  # shipments, predictions and orders, once each
