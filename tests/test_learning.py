@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,30 @@ def test_the_search_compares_its_draws_on_all_labelled_rows(spark, monkeypatch):
     monkeypatch.setattr(learn, "search_space", lambda n, seed=42, forest=False: [{"numTrees": 2, "maxDepth": 2}, {"numTrees": 1, "maxDepth": 1}])
     made = modelling.tune_classifier(Inputs(spark, SF)).collect()
     assert len(made) == 2 and seen["folds"] == 7_000
+
+
+def test_only_rows_whose_hash_repeats_are_dealt_out(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a", 0.0), (1, "a", -0.0), (2, None, float("nan")), (2, None, float("nan")), (2, "None", 1.0), (3, None, None), (4, "b", 2.0)], "k int, `t.x` string, v double")
+    more = rows.union(spark.range(50).select(F.col("id").cast("int"), F.lit("c"), F.col("id") / 3))
+    for most in (prepare.SENT_HASHES, 0):
+        monkeypatch.setattr(prepare, "SENT_HASHES", most)
+        made, want = prepare.distinct_rows(more), more.dropDuplicates()
+        assert made.count() == want.count() == 55 and made.exceptAll(want).isEmpty()
+    alone = spark.range(100).withColumn("v", F.col("id") * 2)
+    assert "Aggregate" not in prepare.distinct_rows(alone)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_preparation_leaves_only_its_rows_on_disk(spark, monkeypatch):
+    modelling._PREPARED.clear()
+    written, write = [], materialize
+
+    def watched(df, label="stage"):
+        made = write(df, label)
+        written.append((label, made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")))
+        return made
+
+    monkeypatch.setattr(modelling, "materialize", watched)
+    monkeypatch.setattr(prepare, "materialize", watched)
+    _, train, test = modelling.prepared(Inputs(spark, SF))
+    assert [label for label, path in written if os.path.isdir(path) and label != "repeated"] == ["prepared"]
+    assert train.count() + test.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
