@@ -230,3 +230,24 @@ def test_the_preparation_leaves_only_its_rows_on_disk(spark, monkeypatch):
     _, train, test = modelling.prepared(Inputs(spark, SF))
     assert [label for label, path in written if os.path.isdir(path) and label != "repeated"] == ["prepared"]
     assert train.count() + test.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_changes_of_boosted_trees_are_those_of_scored_copies(spark, monkeypatch):
+    rows = spark.range(900).select(
+        F.col("id").cast("string").alias("k"), *[(F.xxhash64(F.col("id") + i) % 40 / 10.0).alias(f"f{i}") for i in range(5)], F.lit(1).alias("flat"),
+        F.when(F.col("id") % 6 > 0, F.col("id") % 9).alias("gaps"),
+    ).withColumn("y", (F.col("f0") + F.col("f1") * F.col("f2") + F.coalesce("gaps", F.lit(20)) / 4 > 2).cast("int"))
+    names = [*[f"f{i}" for i in range(5)], "flat", "gaps"]
+    model = learn.train_classifier(learn.assemble(rows.fillna(20, ["gaps"]), names), "y", maxIter=6)
+    got = {r["feature"]: r["mean_abs_change"] for r in learn.explain_global(rows, model, names, ["k"]).collect()}
+    explained = []
+    monkeypatch.setattr(learn, "masked_trees", lambda spark, model: explained.append(model))
+    want = {r["feature"]: r["mean_abs_change"] for r in learn.explain_global(rows, model, names, ["k"]).collect()}
+    assert explained and got == pytest.approx(want, abs=1e-9) and got["flat"] == 0 and got["f1"] > 0.01 and got["gaps"] > 0.01
+
+
+def test_boosted_rows_are_not_copied_for_each_feature(spark):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b")).withColumn("y", (F.col("a") > 3).cast("int"))
+    model = learn.train_classifier(learn.assemble(rows, ["a", "b"]), "y", maxIter=1)
+    plan = learn.explain_global(rows, model, ["a", "b"], ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
