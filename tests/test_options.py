@@ -255,3 +255,29 @@ def test_rows_that_were_joined_by_id_are_not_dealt_by_it_again(spark, refs):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert plan.count("Exchange hashpartitioning(shipment_id") == 3  # shipments, predictions and orders, once each
+
+
+def test_each_shipment_gets_the_optimum_of_its_own_programme(spark, refs):
+    """One option exactly, under SLA, budget, carbon and every shared capacity: with one shipment the integer programme is a choice among its offers, all of which are tried here."""
+    rng = random.Random(9)
+    rows = [{"delay_probability": 0.9, "purchase_order_value": rng.uniform(100, 20_000), "units": rng.randint(1, 14), "shipment_weight": rng.uniform(1, 200),
+             "expected_delay_days": round(rng.uniform(0, 20), 1), "supplier_id": rng.choice([1, 2])} for _ in range(40)]
+    caps = {"transport_mode:Air": 120.0, "transport_mode:Sea": 150.0, "supplier:90001": 8.0, "inventory:W1|Toys": 5.0, "production:P1": 6.0}
+    table = spark.createDataFrame([(*k.split(":"), v) for k, v in caps.items()], "resource_type string, resource_key string, capacity double")
+    made = options.with_options(ship(spark, *rows), refs, capacities=table)
+    budget, carbon = 900.0, 90.0
+    got = {r["shipment_id"]: r for r in options.recommend_each(made, budget, carbon).collect()}
+    bound = 0
+    for r in made.collect():
+        hard, best = r["assign_priority"] in P.HARD_SLA_PRIORITIES, None
+        for o in r["options"]:
+            late = max(o["expected_delay_days"] - r["sla_days"], 0.0)
+            if not o["feasible"] or o["cost_usd"] is None or (hard and late > 0):
+                continue
+            if o["cost_usd"] > budget or o["emission_kg"] > carbon or o["resource_units"] > caps.get(f"{o['resource_type']}:{o['resource_key']}", float("inf")):
+                bound += 1
+                continue
+            total = o["cost_usd"] + o["emission_kg"] * P.CARBON_PRICE_PER_KG + (0.0 if hard else r["purchase_order_value"] * r["assign_penalty_pct"] * late)
+            best = min(best or (float("inf"),), (total, o["option_name"]))
+        assert got[r["shipment_id"]]["recommended_action"] == (best[1] if best else "No_Feasible_Option")
+    assert bound > 20 and len({g["recommended_action"] for g in got.values()}) > 2
